@@ -90,3 +90,20 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(fn, schema)
+
+
+#: Bits of a sieve; its rows (64 bits each) are what a sieve broadcasts, at most.
+SIEVE_BITS = 1 << 23
+
+
+def sifted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` less most of those whose ``name`` is not in ``keys``: a cheap step before a join that shuffles ``rows``.
+
+    The keys are hashed into a bitmap of fixed size, SIEVE_BITS / 64 rows of a long, which is broadcast. A row stays if its
+    bit is set, so all with a key stay; when there are many more keys than bits, all rows stay.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(SIEVE_BITS))
+    bitmap = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
+    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
+    found = marked.join(F.broadcast(bitmap), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1) = 1"))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns])

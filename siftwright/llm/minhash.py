@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, slices, sorted_groups, written
+from ._common import arrow_map, sifted, slices, sorted_groups, written
 from ._graph import components
 from ._words import U, mix, shingles, signed, words
 
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     dealt = members.join(members.groupBy("cluster").agg(parts.alias("n")), "cluster")
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.col("n")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = dealt.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
-    dealt = docs.join(dealt, F.col("doc_id") == F.col("id")).select("cluster", "i", "j", "id", "block", "text")
+    dealt = sifted(docs, members.withColumnRenamed("id", "doc_id"), "doc_id").join(dealt, F.col("doc_id") == F.col("id")).select("cluster", "i", "j", "id", "block", "text")
     dealt = dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
     links = arrow_map(dealt, lambda b: _forests(k, percent, b), "a long, b long")
     groups = components(links)
