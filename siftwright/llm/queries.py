@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, topk, url_filter, warc
+from . import chat, minhash, suffixes, topk, url_filter, warc
 from ._common import table
 from .oracles import ORACLES
 
@@ -25,6 +25,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
@@ -36,4 +40,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least=100))
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_minhash, op5_topk, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_minhash, op5_topk, op7_suffix_array, op9_chat, op10_warc)}
