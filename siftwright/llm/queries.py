@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, langid, minhash, suffixes, topk, toxicity, url_filter, warc
+from . import chat, decontaminate, langid, minhash, suffixes, topk, toxicity, url_filter, warc
 from ._common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.apply_rules(table(spark, sf_dir, "pages"), rules)
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -50,4 +54,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least=100))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op4_minhash, op5_topk, op6_langid, op7_suffix_array, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_decontaminate, op4_minhash, op5_topk, op6_langid, op7_suffix_array, op9_chat, op10_warc)}
