@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, minhash, suffixes, topk, toxicity, url_filter, warc
+from . import chat, decontaminate, langid, minhash, pieces, suffixes, topk, toxicity, url_filter, warc
 from ._common import table
 from .oracles import ORACLES
 
@@ -43,6 +43,11 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), pieces.load(pieces.default_model()))
+    return rows.select("doc_id", "n_tokens", "token_ids", "restored")
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.posexplode(F.array(F.lit("user"), F.lit("assistant"))).alias("turn", "role"))
@@ -54,4 +59,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages"), least=100))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_decontaminate, op4_minhash, op5_topk, op6_langid, op7_suffix_array, op9_chat, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_decontaminate, op4_minhash, op5_topk, op6_langid, op7_suffix_array, op8_sentencepiece, op9_chat, op10_warc)}
