@@ -24,6 +24,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from ._common import arrow_map, slices
 
 MARK = "▁"
-MAX_PIECES, KEPT_WORDS = 1_000_000, 400_000
+MAX_PIECES, KEPT_WORDS, FOLDED_WORDS = 1_000_000, 400_000, 20_000
 # Fixed values of the model format: kinds of models and of pieces.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
@@ -53,7 +54,9 @@ class PieceTable:
     def __post_init__(self) -> None:
         self.longest = max(map(len, self.scores), default=1)
         crossing = any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
-        self.word = re.compile(r"(?s).+" if crossing else f"{MARK}*[^{MARK}]+|{MARK}+")
+        joined = {c for p in self.scores if len(p) > 1 for c in p}
+        alone = "".join(f"\\x{c:02x}" for c in range(32) if chr(c) not in joined)  # control characters that no piece joins to others
+        self.word = re.compile(r"(?s).+" if crossing else f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
         self.lowest = min(self.scores.values(), default=0.0)
 
     def edges(self, word: str) -> dict[tuple[int, int], float]:
@@ -147,12 +150,126 @@ def load(path: str) -> PieceTable:
     return PieceTable(spec.model_type, norm.add_dummy_prefix, {p: i for p, (i, _) in normal.items()}, {p: s for p, (_, s) in normal.items()}, bytes_, unknown, spelled)
 
 
+class Lattice:
+    """The folds of many words of a BPE model side by side, over arrays of their symbols.
+
+    Symbols are pieces and the characters of pieces. Joining all splits of all pieces with the symbols gives the edges that
+    two neighbouring symbols can have; a round takes the best (leftmost) edge of each word, until no word has one left.
+    """
+
+    NONE = np.int64(1) << 60
+
+    def __init__(self, table: PieceTable) -> None:
+        self.pieces = list(table.scores)
+        names = self.pieces + sorted({c for p in self.pieces for c in p} - set(self.pieces))
+        symbol = {p: i for i, p in enumerate(names)}
+        self.ids = np.array([table.ids[p] for p in self.pieces] + [-1] * (len(names) - len(self.pieces)), np.int32)
+        self.char = np.full(0x110000, -1, np.int32)
+        for p, i in symbol.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        order = {s: r for r, s in enumerate(sorted(set(table.scores.values()), reverse=True))}
+        edges = [(symbol[p[:c]] << 32 | symbol[p[c:]], order[table.scores[p]] << 32 | symbol[p]) for p in self.pieces for c in range(1, len(p)) if p[:c] in symbol and p[c:] in symbol]
+        keys, values = np.array(sorted(edges), np.int64).reshape(-1, 2).T
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int64)
+        self.probes = 0
+        left = np.arange(len(keys))
+        while len(left):  # open addressing, a probe at a time
+            at = self._slot(keys[left], self.probes)
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[left[free]]
+            mine = self.keys[at] == keys[left]
+            self.values[at[mine]] = values[left[mine]]
+            left = left[~mine]
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        h = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(64 - self.bits)).astype(np.int64) + probe) & ((1 << self.bits) - 1)
+
+    def edge(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and symbol of the pieces that a and b make together, NONE where there is none."""
+        keys = a.astype(np.int64) << 32 | b.astype(np.int64)
+        out = np.full(len(keys), self.NONE)
+        left = np.flatnonzero((a >= 0) & (b >= 0))
+        for probe in range(self.probes):
+            at = self._slot(keys[left], probe)
+            found = self.keys[at] == keys[left]
+            out[left[found]] = self.values[at[found]]
+            left = left[~found & (self.keys[at] != -1)]
+            if not len(left):
+                break
+        return out
+
+    def fold(self, words: list[str]) -> list[bytes | None]:
+        """Each word's ids as bytes of int32; None where a symbol is no piece."""
+        sizes = np.array([len(w) for w in words], np.int64)
+        sym = self.char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        word = np.repeat(np.arange(len(words)), sizes)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        best = np.full(len(sym), self.NONE)
+        inner = np.flatnonzero(word[1:] == word[:-1])
+        best[inner] = self.edge(sym[inner], sym[inner + 1])
+        while len(sym):
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            count = np.diff(np.append(first, len(sym)))
+            rank = best >> 32
+            least = np.minimum.reduceat(rank, first)
+            open_ = least < (self.NONE >> 32)
+            if not open_.all():
+                over = np.repeat(~open_, count)
+                done.append((word[over], self.ids[sym[over]] if len(self.ids) else sym[over]))
+                done[-1][1][sym[over] < 0] = -1
+                word, sym, best, rank, least, count = word[~over], sym[~over], best[~over], rank[~over], least[open_], count[open_]
+                if not len(sym):
+                    break
+                first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            at = np.minimum.reduceat(np.where(rank == np.repeat(least, count), np.arange(len(sym)), len(sym)), first)
+            sym[at] = (best[at] & 0xFFFFFFFF).astype(np.int32)
+            keep = np.ones(len(sym), bool)
+            keep[at + 1] = False
+            now = at - np.arange(len(at))  # places after one symbol of each word before has gone
+            word, sym, best = word[keep], sym[keep], best[keep]
+            best[now] = self.NONE
+            for i in (now - 1, now):
+                i = i[(i >= 0) & (i < len(sym) - 1)]
+                i = i[word[i] == word[i + 1]]
+                best[i] = self.edge(sym[i], sym[i + 1])
+        if not done:
+            return [b""] * len(words)
+        owner, ids = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(owner, kind="stable")
+        owner, ids = owner[order], ids[order]
+        ends = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        bad = set(owner[ids < 0].tolist())
+        data = ids.astype(np.int32).tobytes()
+        return [None if i in bad else data[4 * ends[i] : 4 * ends[i + 1]] for i in range(len(words))]
+
+
 class Encoder(dict):
     """Words' piece ids as bytes of int32, filled as words are met; forgets all when it is full."""
 
     def __init__(self, table: PieceTable) -> None:
         super().__init__()
         self.table = table
+        self.lattice = Lattice(table) if table.kind == BPE and table.scores else None
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """Ids of texts; their short words that are not known yet are folded all together."""
+        split = [self.words(t) if t else [] for t in texts]
+        if self.lattice is not None:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            new = [w for w in set(chain.from_iterable(split)).difference(self) if len(w) <= 64]
+            for i in range(0, len(new), FOLDED_WORDS):
+                part = new[i : i + FOLDED_WORDS]
+                self.update((w, x) for w, x in zip(part, self.lattice.fold(part)) if x is not None)
+        return [None if t is None else np.frombuffer(b"".join(map(self.__getitem__, x)), np.int32) for t, x in zip(texts, split)]
+
+    def words(self, text: str) -> list[str]:
+        text = text.replace(" ", MARK)
+        return self.table.word.findall(MARK + text if self.table.prefix else text)
 
     def __missing__(self, word: str) -> bytes:
         found = np.array(self.table.encode_word(word), np.int32).tobytes()
@@ -163,10 +280,7 @@ class Encoder(dict):
         return found
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        text = text.replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self.__getitem__, self.table.word.findall(MARK + text if self.table.prefix else text))), np.int32)
+        return self.encode_all([text])[0]
 
 
 def decode(ids: list[int], table: PieceTable) -> str:
@@ -180,7 +294,7 @@ def _encoded(table: PieceTable, batches: Iterator[pa.RecordBatch]) -> Iterator[p
         for start, end in slices(batch.column("text")):
             part = batch.slice(start, end - start)
             texts = part.column("text").to_pylist()
-            ids = [None if t is None else encoder.encode(t) for t in texts]
+            ids = encoder.encode_all(texts)
             restored = [None if t is None else decode(x.tolist(), table) == t for t, x in zip(texts, ids)]
             ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)]).astype(np.int32)
             values = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)]))
