@@ -1,0 +1,228 @@
+"""A flat, handle-based interface: every call returns a :class:`Result` instead of raising.
+
+For hosts that drive the library through plain functions (a C-style binding, an RPC server). The last error of each
+thread is kept; functions that free memory are there for symmetry and do nothing.
+"""
+
+from __future__ import annotations
+
+import json
+import threading
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import wraps
+from typing import Any
+
+from . import types
+from .operators.engine import Filter
+from .operators.lists import AlwaysList, NeverList
+from .plans import nodes
+from .plans.parser import Settings
+from .scheme import Scheme, SchemeBuilder
+from .sources.records import Record, from_json
+
+SUCCESS, ERROR, PANIC = "success", "error", "panic"
+VERSION = "0.1.0"
+# Numbers of the primitive types.
+PRIMITIVES = {1: types.IP, 2: types.BYTES, 3: types.INT, 4: types.BOOL}
+_local = threading.local()
+
+
+@dataclass(frozen=True)
+class Result:
+    status: str
+    value: Any = None
+
+    @property
+    def ok(self) -> bool:
+        return self.status == SUCCESS
+
+
+#: Errors that a caller can cause; anything else is a panic.
+EXPECTED = (ValueError, TypeError, KeyError, json.JSONDecodeError)
+
+
+def _set_error(text: str | None) -> None:
+    _local.error = text
+
+
+def _caught(f: Callable) -> Callable:
+    @wraps(f)
+    def run(*args: Any, **more: Any) -> Result:
+        try:
+            return Result(SUCCESS, f(*args, **more))
+        except Exception as e:
+            from .errors import ParseError
+
+            _set_error(str(e))
+            if isinstance(e, (ParseError, *EXPECTED)):
+                return Result(ERROR)
+            if getattr(_local, "catcher", True):
+                hook = getattr(_local, "hook", None)
+                if hook:
+                    hook(e)
+                return Result(PANIC)
+            raise
+
+    return run
+
+
+def get_last_error() -> str | None:
+    return getattr(_local, "error", None)
+
+
+def clear_last_error() -> None:
+    _set_error(None)
+
+
+def create_scheme_builder() -> SchemeBuilder:
+    return SchemeBuilder()
+
+
+def create_primitive_type(number: int) -> types.Type:
+    return PRIMITIVES[number]
+
+
+def create_map_type(item: types.Type) -> types.Type:
+    return types.Map(item)
+
+
+def create_array_type(item: types.Type) -> types.Type:
+    return types.Array(item)
+
+
+@_caught
+def add_type_field_to_scheme(builder: SchemeBuilder, name: str, kind: types.Type) -> bool:
+    builder.add_field(name, kind)
+    return True
+
+
+@_caught
+def add_always_list_to_scheme(builder: SchemeBuilder, kind: types.Type) -> bool:
+    builder.add_list(kind, AlwaysList())
+    return True
+
+
+@_caught
+def add_never_list_to_scheme(builder: SchemeBuilder, kind: types.Type) -> bool:
+    builder.add_list(kind, NeverList())
+    return True
+
+
+def build_scheme(builder: SchemeBuilder) -> Scheme:
+    return builder.build()
+
+
+@_caught
+def parse_filter(scheme: Scheme, text: str, settings: Settings | None = None) -> Filter:
+    return Filter.parse(scheme, text, settings)
+
+
+@_caught
+def get_filter_hash(filter_: Filter) -> int:
+    return nodes.stable_hash(filter_.node)
+
+
+@_caught
+def serialize_filter_to_json(filter_: Filter) -> str:
+    return nodes.compact_json(filter_.node)
+
+
+@_caught
+def serialize_scheme_to_json(scheme: Scheme) -> str:
+    return json.dumps(scheme.to_json(), separators=(",", ":"))
+
+
+@_caught
+def serialize_type_to_json(kind: types.Type) -> str:
+    return json.dumps(kind.to_json(), separators=(",", ":"))
+
+
+def create_execution_context(scheme: Scheme) -> Record:
+    return Record(scheme)
+
+
+@_caught
+def serialize_execution_context_to_json(record: Record) -> str:
+    return json.dumps(record.to_json(), separators=(",", ":"), ensure_ascii=False)
+
+
+@_caught
+def deserialize_json_to_execution_context(record: Record, form: str) -> bool:
+    record.load_json(form)
+    return True
+
+
+@_caught
+def add_json_value_to_execution_context(record: Record, name: str, form: str) -> bool:
+    record.set(name, from_json(json.loads(form), record.scheme.field(name).type))
+    return True
+
+
+def _typed(kind: types.Type, check: Callable[[Any], bool] = lambda _: True) -> Callable:
+    @_caught
+    def add(record: Record, name: str, value: Any) -> bool:
+        if record.scheme.field(name).type != kind or not check(value):
+            raise TypeError(f"field {name} is {record.scheme.field(name).type}, not {kind}")
+        record.set(name, value)
+        return True
+
+    return add
+
+
+add_int_value_to_execution_context = _typed(types.INT)
+add_bytes_value_to_execution_context = _typed(types.BYTES)
+add_bool_value_to_execution_context = _typed(types.BOOL)
+add_ipv4_value_to_execution_context = _typed(types.IP, lambda v: len(v) == 4)
+add_ipv6_value_to_execution_context = _typed(types.IP, lambda v: len(v) == 16)
+
+
+@_caught
+def compile_filter(filter_: Filter) -> Filter:
+    return filter_
+
+
+@_caught
+def match(filter_: Filter, record: Record) -> bool:
+    return record.matches(filter_)
+
+
+@_caught
+def filter_uses(filter_: Filter, name: str) -> bool:
+    filter_.scheme.field(name)
+    return nodes.uses(filter_.node, name)
+
+
+@_caught
+def filter_uses_list(filter_: Filter, name: str) -> bool:
+    filter_.scheme.field(name)
+    return nodes.uses_list(filter_.node, name)
+
+
+def get_version() -> str:
+    return VERSION
+
+
+def set_panic_catcher_hook(hook: Callable[[Exception], None] | None) -> None:
+    _local.hook = hook
+
+
+def set_panic_catcher_fallback_mode(continue_: bool) -> None:
+    _local.fallback = continue_
+
+
+def enable_panic_catcher() -> None:
+    """Unexpected errors become results of status panic (the default)."""
+    _local.catcher = True
+
+
+def disable_panic_catcher() -> None:
+    """Unexpected errors are raised."""
+    _local.catcher = False
+
+
+def _nothing(_handle: Any = None) -> None:
+    """Python frees what nobody holds."""
+
+
+free_string = free_scheme_builder = free_scheme = free_parsed_filter = free_compiled_filter = free_execution_context = _nothing
