@@ -7,6 +7,7 @@ out; documents that hold a benchmark item go; what is left is encoded. Documents
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftwright.llm import decontaminate, minhash, pieces, suffixes, toxicity
 from siftwright.llm._common import table, written
@@ -15,7 +16,7 @@ from siftwright.llm._common import table, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is 0.5 or more go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.with_scores(docs, model).where("_score < 0.5").drop("_score")
+    return toxicity.with_scores(docs, model).where("__sw_score < 0.5").drop("__sw_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,18 +26,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 or more words that stand earlier in the corpus are cut out of the texts."""
-    return suffixes.cut_repeats(docs)
+    return suffixes.cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item (5-word shingles, similarity 0.8 or more) go."""
     matched = decontaminate.with_matches(docs, table(spark, sf_dir, "benchmark"), k=5, percent=80)
-    return matched.where("size(item_ids) = 0").drop("item_ids", "best")
+    return matched.where(F.size(decontaminate.IDS) == 0).drop(decontaminate.IDS, decontaminate.BEST)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts as token ids, with a check that these decode to the text."""
-    return pieces.with_tokens(docs, pieces.load(pieces.default_model())).drop("text", "n_chars")
+    return pieces.with_tokens(docs.select("doc_id", "lang", "source", "text"), pieces.load(pieces.default_model())).drop("text")
 
 
 STAGES = [

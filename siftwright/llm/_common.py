@@ -104,7 +104,7 @@ def sifted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
     bit is set, so all with a key stay; when there are many more keys than bits, all rows stay.
     """
     bit = F.pmod(F.xxhash64(name), F.lit(SIEVE_BITS))
-    bitmap = keys.select(bit.alias("_bit")).groupBy(F.shiftright("_bit", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(_bit % 64 as int))")).alias("_bits"))
-    marked = rows.withColumn("_bit", bit).withColumn("_word", F.shiftright("_bit", 6))
-    found = marked.join(F.broadcast(bitmap), "_word").where(F.expr("(shiftrightunsigned(_bits, cast(_bit % 64 as int)) & 1) = 1"))
+    bitmap = keys.select(bit.alias("__sw_bit")).groupBy(F.shiftright("__sw_bit", 6).alias("__sw_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__sw_bit % 64 as int))")).alias("__sw_bits"))
+    marked = rows.withColumn("__sw_bit", bit).withColumn("__sw_word", F.shiftright("__sw_bit", 6))
+    found = marked.join(F.broadcast(bitmap), "__sw_word").where(F.expr("(shiftrightunsigned(__sw_bits, cast(__sw_bit % 64 as int)) & 1) = 1"))
     return found.select(*[F.col(f"`{c}`") for c in rows.columns])

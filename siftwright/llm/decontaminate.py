@@ -31,6 +31,7 @@ from ._words import U, runs, words
 
 RADIUS, MIN_WORDS, STEP = 3, 8, 1.5
 MAX_ITEMS = 20000
+IDS, BEST = "__sw_item_ids", "__sw_best"
 _ROWS = 8192
 
 
@@ -149,18 +150,18 @@ def _matched(bench: Benchmark, k: int, percent: int, batches: Iterator[pa.Record
         for start, end in slices(batch.column("text")):
             found = words(batch.column("text").slice(start, end - start))
             for d, hits in enumerate(bench.matches(found.hashes, found.first, k, percent), start):
-                before = batch.column("item_ids")[d].as_py()
+                before = batch.column(IDS)[d].as_py()
                 ids.append(sorted({*before, *hits}))
-                best.append(max([batch.column("best")[d].as_py(), *hits.values()]))
-        keep = [c for c in batch.schema.names if c not in ("item_ids", "best")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*keep, "item_ids", "best"])
+                best.append(max([batch.column(BEST)[d].as_py(), *hits.values()]))
+        keep = [c for c in batch.schema.names if c not in (IDS, BEST)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*keep, IDS, BEST])
 
 
 def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, max_items: int = MAX_ITEMS) -> DataFrame:
-    """``docs`` (a text column and others) with ``item_ids`` (sorted) and ``best`` (similarity, 0 without a match)."""
+    """``docs`` (a text column and others) with the matched items' ids (IDS, sorted) and the BEST similarity (0 without a match)."""
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     parts = max(1, -(-items.count() // max_items))
-    rows = docs.withColumn("item_ids", F.array().cast("array<bigint>")).withColumn("best", F.lit(0.0))
+    rows = docs.withColumn(IDS, F.array().cast("array<bigint>")).withColumn(BEST, F.lit(0.0))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
@@ -172,4 +173,4 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, contaminated, n_items, item_ids, best`` for each row."""
     rows = with_matches(docs.select("doc_id", "text"), benchmark, k, percent)
-    return rows.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").alias("n_items"), "item_ids", "best")
+    return rows.select("doc_id", (F.size(IDS) > 0).alias("contaminated"), F.size(IDS).alias("n_items"), F.col(IDS).alias("item_ids"), F.col(BEST).alias("best"))

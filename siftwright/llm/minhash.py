@@ -89,8 +89,8 @@ def _signatures(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 prints[1].append(int(signed(mix(x ^ U(0x5851F42D4C957F2D)).sum(keepdims=True, dtype=U))[0]))
                 keys.append(signed(band_keys(minhash(x))) if len(x) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), lengths, pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "p1", "p2", "n_bytes", "bands"],
+                [batch.column("doc_id").slice(at, to - at), batch.column("print").slice(at, to - at), pa.array(sizes, pa.int64()), pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()), lengths, pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "print", "n_shingles", "p1", "p2", "n_bytes", "bands"],
             )
 
 
@@ -136,10 +136,11 @@ def _forests(k: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterato
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row; see the module's text."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = written(arrow_map(docs, lambda b: _signatures(k, b), "doc_id long, n_shingles long, p1 long, p2 long, n_bytes long, bands array<long>"), "minhash")
+def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """``doc_id, print, n_shingles, component_id, kept`` for each row; print is a hash of the text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    hashed = docs.withColumn("print", F.xxhash64("text"))
+    marks = written(arrow_map(hashed, lambda b: _signatures(k, b), "doc_id long, print long, n_shingles long, p1 long, p2 long, n_bytes long, bands array<long>"), "minhash")
     full = marks.where("doc_id is not null and n_shingles > 0")
     classes = written(full.groupBy("p1", "p2", "n_shingles").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.max("n_bytes").alias("n_bytes")), "classes")
     keys = classes.select("id", F.explode("bands").alias("key"))
@@ -158,10 +159,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     named = classes.drop("bands", "n_bytes").join(groups, "id", "left").select("p1", "p2", "n_shingles", F.coalesce("component", "id").alias("class_component"))
     out = marks.drop("bands").join(named, ["p1", "p2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "print", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``doc_id, text``; see the module's text."""
+    return _decided(docs, k, percent).drop("print")
 
 
 def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, all columns as they are."""
-    gone = near_duplicates(docs, k, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows of ``docs`` (doc_id, text and any others) that stand for their group; repeated rows stay together."""
+    gone = _decided(docs, k, percent).where("not kept").select(F.col("doc_id").alias("__sw_id"), F.col("print").alias("__sw_print")).distinct()
+    return docs.join(gone, (docs["doc_id"] == F.col("__sw_id")) & (F.xxhash64(docs["text"]) == F.col("__sw_print")), "left_anti")

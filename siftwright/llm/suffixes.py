@@ -182,7 +182,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -
 
 def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, ranges, out = batch.column("text"), batch.column("ranges"), []
+        texts, ranges, out = batch.column("text"), batch.column("__sw_ranges"), []
         for start, end in slices(texts):
             found = words(texts.slice(start, end - start))
             for d in range(start, end):
@@ -196,12 +196,12 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                     kept.append(data[at : found.starts[i + a] - base])
                     at = found.ends[i + b - 1] - base
                 out.append(b"".join([*kept, data[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "text" else pa.array(out, pa.string()) for c in batch.schema.names if c != "ranges"], [c for c in batch.schema.names if c != "ranges"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) if c != "text" else pa.array(out, pa.string()) for c in batch.schema.names if c != "__sw_ranges"], [c for c in batch.schema.names if c != "__sw_ranges"])
 
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated words cut out of the texts."""
-    ranges = repeated_windows(docs, length, gram).groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    ranges = ranges.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"), "ranges")
-    rows = docs.join(ranges, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_print")), "left").drop("_id", "_print")
+    ranges = repeated_windows(docs, length, gram).groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("__sw_ranges"))
+    ranges = ranges.select(F.col("doc_id").alias("__sw_id"), F.col("print").alias("__sw_print"), "__sw_ranges")
+    rows = docs.join(ranges, (docs["doc_id"] == F.col("__sw_id")) & (F.xxhash64(docs["text"]) == F.col("__sw_print")), "left").drop("__sw_id", "__sw_print")
     return arrow_map(rows, lambda b: _cut(length, b), docs.schema)

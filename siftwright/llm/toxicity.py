@@ -161,16 +161,16 @@ def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         else:
             scores = np.full(batch.num_rows, model.base)
         keep = batch.schema.names
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, "_score"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, "__sw_score"])
 
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with a text column, other columns as they are) and ``_score``, the probability of label 1."""
+    """``docs`` (with a text column, other columns as they are) and ``__sw_score``, the probability of label 1."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, lambda b: _scored(model, b), f"{schema}, _score double")
+    return arrow_map(docs, lambda b: _scored(model, b), f"{schema}, __sw_score double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for each row."""
     rows = with_scores(docs.select("doc_id", "text"), model)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("__sw_score").alias("score"), (F.col("__sw_score") >= 0.5).cast("int").alias("predicted"))
