@@ -70,19 +70,20 @@ def _suffixes(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iter
 
 
 def _neighbours(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted suffixes to ``doc_id, print, low, high, whole``: whole spans are repeats, the others have to be extended."""
+    """Sorted suffixes to ``doc_id, print, low, high, whole, source``: whole spans are repeats of words in the document
+    ``source``, the others have to be extended."""
     names = ["doc_id", "print", "low", "high"]
     gram = around = None  # of the last row
     first = None  # the first row of the last surroundings
     waiting = None  # the only first row of the last gram so far
     edge = True
 
-    def rows(table: dict, keep: np.ndarray, whole: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(table[c][keep]) for c in names] + [pa.array(whole[keep])], [*names, "whole"])
+    def rows(table: dict, keep: np.ndarray, whole: np.ndarray, source: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array(table[c][keep]) for c in names), pa.array(whole[keep]), pa.array(source[keep])], [*names, "whole", "source"])
 
     def alone(row: tuple) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)] + [pa.array([False])], [*names, "whole"])
+        return pa.RecordBatch.from_arrays([*(pa.array([v], k) for v, k in zip(row, kinds)), pa.array([False]), pa.array([row[0]], pa.int64())], [*names, "whole", "source"])
 
     for batch in batches:
         n = batch.num_rows
@@ -112,7 +113,7 @@ def _neighbours(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         if last is not None:  # the last gram's only surroundings so far may get company in the next batch
             waiting = None if many[group[-1]] or keep[last] else tuple(int(t[c][last]) for c in names)
         if keep.any():
-            yield rows(t, keep, whole)
+            yield rows(t, keep, whole, head_of["doc_id"])
         gram, around = t["gram"][-1], t["around"][-1]
         first = tuple(int(head_of[c][-1]) for c in names)
     if waiting is not None:
@@ -136,12 +137,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, print, low, high``: the windows of ``length`` words that start at words low to high are repeats."""
+    """``doc_id, print, low, high, source``: the windows of ``length`` words that start at words low to high repeat words of source."""
     keyed = _keyed(docs.select("doc_id", "text"))
     columns = "gram long, around long, doc_id long, print long, low int, high int"
     retained = written(arrow_map(keyed, lambda b: _suffixes(length, gram, b), columns), "suffixes")
     order = ["gram", "around", "doc_id", "print", "low"]
-    near = arrow_map(retained.repartitionByRange(*order).sortWithinPartitions(*order), lambda b: _neighbours(length, b), "doc_id long, print long, low int, high int, whole boolean")
+    near = arrow_map(retained.repartitionByRange(*order).sortWithinPartitions(*order), lambda b: _neighbours(length, b), "doc_id long, print long, low int, high int, whole boolean, source long")
     near = written(near, "neighbours")
     extended = near.where("not whole").groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     texts = sifted(keyed, near.where("not whole"), "doc_id")
@@ -150,8 +151,8 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     place = F.struct("doc_id", "print", "low")
     firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     apart = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.print") != F.col("print")) | (F.col("first.low") + length <= F.col("low"))
-    again = windows.join(firsts, "window").where(apart).select("doc_id", "print", "low", F.col("low").alias("high"))
-    return near.where("whole").select("doc_id", "print", "low", "high").unionByName(again)
+    again = windows.join(firsts, "window").where(apart).select("doc_id", "print", "low", F.col("low").alias("high"), F.col("first.doc_id").alias("source"))
+    return near.where("whole").select("doc_id", "print", "low", "high", "source").unionByName(again)
 
 
 def _merged(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -167,17 +168,25 @@ def _merged(length: int, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]
 def _spans(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     for batch in batches:
-        spans = [_merged(length, [(r["low"], r["high"]) for r in x or []]) for x in batch.column("ranges").to_pylist()]
+        ranges = batch.column("ranges").to_pylist()
+        spans = [_merged(length, [(r["low"], r["high"]) for r in x or []]) for x in ranges]
+        sources = [sorted({r["source"] for r in x or []}) for x in ranges]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], kind)], ["doc_id", "repeated_words", "spans"]
+            [batch.column("doc_id"), pa.array([sum(b - a for a, b in x) for x in spans], pa.int64()), pa.array([[{"begin": a, "end": b} for a, b in x] for x in spans], kind), pa.array(sources, pa.list_(pa.int64()))],
+            ["doc_id", "repeated_words", "spans", "sources"],
         )
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``doc_id, repeated_words, spans`` for each row: the spans (first word, one behind the last) that stand earlier too."""
-    ranges = repeated_windows(docs, length, gram).groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
+    """``doc_id, repeated, repeated_words, spans, sources`` for each row.
+
+    spans: the words (first, one behind the last) that stand earlier too. sources: documents where they do, at least one
+    for each window; where many do, which of them is named may differ between runs.
+    """
+    ranges = repeated_windows(docs, length, gram).groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high", "source")).alias("ranges"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("print")).join(ranges, ["doc_id", "print"], "left")
-    return arrow_map(rows.select("doc_id", "ranges"), lambda b: _spans(length, b), "doc_id long, repeated_words long, spans array<struct<begin:int,end:int>>")
+    found = arrow_map(rows.select("doc_id", "ranges"), lambda b: _spans(length, b), "doc_id long, repeated_words long, spans array<struct<begin:int,end:int>>, sources array<long>")
+    return found.select("doc_id", (F.col("repeated_words") > 0).alias("repeated"), "repeated_words", "spans", "sources")
 
 
 def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
