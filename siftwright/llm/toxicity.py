@@ -38,7 +38,7 @@ WINDOW, LEVEL = 8, 3
 #: Least log-likelihood ratios of telling words that are tried; the calibration documents choose between them.
 CONTRASTS = (20.0, 45.0, 70.0)
 SAMPLE, SAMPLE_CHARS = 3000, 20000
-TELLING_BYTES, COMMON_BYTES, COMMON_WINDOWS = 24 << 10, 64 << 10, 60000
+TELLING_BYTES, LISTED_BYTES, COMMON_BYTES, COMMON_WINDOWS = 24 << 10, 8 << 10, 64 << 10, 60000
 LIMITS = (3, 6)
 
 
@@ -65,6 +65,16 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return data[-size:].rjust(size, b"\0")
 
 
+def _telling(samples: list[bytes]) -> bytes:
+    """A class's own part: a trained dictionary, and behind it the samples themselves, the most frequent last.
+
+    The trainer keeps long segments and loses short words.
+    """
+    counts = Counter(samples)
+    listed = b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-LISTED_BYTES:]
+    return _trained(samples, TELLING_BYTES - len(listed)) + listed
+
+
 @dataclass
 class Model:
     """Dictionary contents and the calibration; plain data, so it travels with the tasks."""
@@ -122,7 +132,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     ratios = [{w: _ratio(x, counts[1 - c].get(w, 0), len(learn[c]), len(learn[1 - c])) for w, x in counts[c].items() if x >= 3} for c in (0, 1)]
     best: tuple[float, Model] | None = None
     for least in CONTRASTS:
-        parts = [_trained([f" {w} ".encode() for t in learn[c] for w in t.lower().split() if ratios[c].get(w, 0) >= least], TELLING_BYTES) for c in (0, 1)]
+        parts = [_telling([f" {w} ".encode() for t in learn[c] for w in t.lower().split() if ratios[c].get(w, 0) >= least]) for c in (0, 1)]
         model = Model(base, parts[1] + common, parts[0] + common)
         codecs = model.codecs()
         x = np.array([model.features(t, codecs) for t in calibrate])

@@ -65,12 +65,12 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model(0.5)).count() == 0
     r = random.Random(0)
     word = lambda: f"w{r.randrange(300)}"
-    texts = [" ".join([word() for _ in range(60)] + (["awful", word(), "horrid"] if i % 4 == 0 else [])) for i in range(400)]
+    texts = [" ".join([word() for _ in range(60)] + (["despicable contemptible", word(), "despicable"] if i % 4 == 0 else [])) for i in range(400)]
     model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)])
     codecs = model.codecs()
     score = lambda t: model.scores(np.array([model.features(t, codecs)]))[0]
     clean = " ".join(word() for _ in range(90))
-    assert score(clean + " awful " + word() + " horrid") > 0.5 > score(clean) and score("") < 0.5 and score(None) < 0.5
+    assert score(clean + " despicable contemptible " + word() + " despicable") > 0.5 > score(clean) and score("") < 0.5 and score(None) < 0.5
 
 
 # ---- languages
@@ -158,7 +158,8 @@ def test_viterbi_against_all_paths():
                     for rest, cuts in paths(j):
                         yield s + rest, [(i, j), *cuts]
 
-        assert model.cuts(word) == max(paths(0), key=lambda x: x[0])[1]
+        value = sum(scores.get(word[i:j], model.lowest - 10) for i, j in model.cuts(word))
+        assert abs(value - max(x for x, _ in paths(0))) < 1e-9 and "".join(word[i:j] for i, j in model.cuts(word)) == word
 
 
 # ---- the pipeline
@@ -168,7 +169,7 @@ def test_pipeline(spark, table, library, tmp_path):
     sf = f"{DATA}/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     long = " ".join(f"n{i}" for i in range(70))
-    extra = [(90001, None, "en", "s", 0), (90002, "", "en", "s", 0), (90003, "start " + long + " end", "en", "s", 0), (90004, "other " + long + " close", "en", "s", 0), (90005, "clean one", None, None, None)]
+    extra = [(90001, None, "en", "s", 0), (90002, "", "en", "s", 0), (90003, long + " a" * 5 + " ".join(f"u{i}" for i in range(80)), "en", "s", 0), (90004, " ".join(f"v{i}" for i in range(80)) + " " + long, "en", "s", 0), (90005, "clean one", None, None, None)]
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
     item = bench.first().text
     extra.append((90006, "before it " + item + " after it", "en", "s", 0))
@@ -189,7 +190,7 @@ def test_pipeline(spark, table, library, tmp_path):
     got = {r.doc_id: r.token_ids for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == {d: None if t is None else library.encode(t) for d, t in rows}
     assert {90001, 90002, 90003, 90004, 90005} <= set(got) and 90006 not in got
-    assert library.decode(got[90004]) == "other  close"
+    assert "n69" in library.decode(got[90003]) and "n5" not in library.decode(got[90004]) and "v79" in library.decode(got[90004])
     staged = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, staged, str(tmp_path))
