@@ -63,6 +63,8 @@ class Function:
 
     #: Whether ``column`` runs Python, which Spark does not allow inside array functions.
     python = False
+    #: Whether a call with all its arguments there always has a result; then a mapped call keeps all elements.
+    total = False
 
 
 def expect_type(arg: Any, allowed: Sequence[Type | str], index: int) -> None:
@@ -86,8 +88,8 @@ def expect_literal(arg: Any, check: Callable[[Any], str | None] | None = None) -
 class SimpleFunction(Function):
     """A function of fixed types. ``params``: (kind, type), kind being literal, field or both; ``optional``: (kind, default literal)."""
 
-    def __init__(self, params: Sequence[tuple[str, Type]], returns: Type, evaluate: Callable, column: Callable | None = None, optional: Sequence[tuple[str, Any]] = (), python: bool = False) -> None:
-        self.params, self.returns, self.optional, self.python = list(params), returns, list(optional), python
+    def __init__(self, params: Sequence[tuple[str, Type]], returns: Type, evaluate: Callable, column: Callable | None = None, optional: Sequence[tuple[str, Any]] = (), python: bool = False, total: bool = False) -> None:
+        self.params, self.returns, self.optional, self.python, self.total = list(params), returns, list(optional), python, total
         self._evaluate, self._column = evaluate, column
 
     def arg_count(self) -> tuple[int, int | None]:

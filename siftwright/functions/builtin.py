@@ -19,6 +19,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 class Concat(Function):
     """Joins two or more byte strings, or arrays of one type. Missing arguments are skipped; all missing is missing."""
 
+    total = True
+
     def arg_count(self) -> tuple[int, int | None]:
         return 2, None
 
@@ -94,7 +96,7 @@ def _ascii(source: str, target: str, change: str) -> SimpleFunction:
             return F.translate(v.column, source, target)
         return F.encode(F.translate(F.decode(v.column, "ISO-8859-1"), source, target), "ISO-8859-1")
 
-    return SimpleFunction([("both", BYTES)], BYTES, lambda b: None if b is None else getattr(b, change)(), column)
+    return SimpleFunction([("both", BYTES)], BYTES, lambda b: None if b is None else getattr(b, change)(), column, total=True)
 
 
 def lower() -> SimpleFunction:
@@ -109,7 +111,7 @@ def upper() -> SimpleFunction:
 
 def length() -> SimpleFunction:
     """The number of bytes."""
-    return SimpleFunction([("both", BYTES)], INT, lambda b: None if b is None else len(b), lambda v: F.octet_length(v.column).cast("bigint"))
+    return SimpleFunction([("both", BYTES)], INT, lambda b: None if b is None else len(b), lambda v: F.octet_length(v.column).cast("bigint"), total=True)
 
 
 def echo() -> SimpleFunction:

@@ -29,6 +29,7 @@ COMPARE: dict[str, Callable[[Column, Any], Column]] = {
     "GreaterThan": lambda a, b: a > b,
     "LessThan": lambda a, b: a < b,
 }
+FOLDS: dict[str, Callable[[Column, Column], Column]] = {"And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Xor": lambda a, b: a != b}
 
 
 @dataclass
@@ -211,8 +212,7 @@ class Lowering:
         if isinstance(node, Not):
             return ~self.truth(node.arg)
         if isinstance(node, Logic):
-            fold = {"And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Xor": lambda a, b: a != b}[node.op]
-            return reduce(fold, map(self.truth, node.items))
+            return reduce(FOLDS[node.op], map(self.truth, node.items))
         if isinstance(node, Quantifier):
             return self.quantified(node)
         if node in self.flags:
@@ -224,6 +224,42 @@ class Lowering:
             return v.column.isNull() | self.leaf(node, v)
         return v.column.isNotNull() & self.leaf(node, v)
 
+    def element(self, node: Access) -> tuple[Access, Callable[[Value], Value]] | None:
+        """The container that a mapped value maps over, and the value of one of its elements; None if the value may have
+        fewer elements than the container (functions that can miss drop theirs)."""
+        if isinstance(node.base, FieldRef):
+            return (node, lambda x: x) if node.each else None
+        call = node.base
+        if not (call.mapped and call.function.total and not call.function.python and node.steps == (Each(),) and all(map(is_literal, call.args[1:]))):
+            return None
+        inner = self.element(call.args[0])
+        if inner is None:
+            return None
+        rest = [self.value(a) for a in call.args[1:]]
+
+        def value(x: Value) -> Value:
+            v = inner[1](x)
+            return Value(call.function.column([v, *rest], call.returns, call.context), call.returns, self.result_text([v, *rest]))
+
+        return inner[0], value
+
+    def elementwise(self, node: Any) -> tuple[Access, Callable[[Value], Column]] | None:
+        """A predicate on each element of one container, if that is what the node is: then no arrays need be zipped."""
+        if isinstance(node, Group):
+            return self.elementwise(node.inner)
+        if isinstance(node, Not):
+            inner = self.elementwise(node.arg)
+            return inner and (inner[0], lambda x: ~inner[1](x))
+        if isinstance(node, Logic):
+            parts = [self.elementwise(x) for x in node.items]
+            if any(p is None or p[0] != parts[0][0] for p in parts):
+                return None
+            return parts[0][0], lambda x: reduce(FOLDS[node.op], [p[1](x) for p in parts])
+        if not isinstance(node, Compare) or not node.left.each:
+            return None
+        found = self.element(node.left)
+        return found and (found[0], lambda x: self.leaf(node, found[1](x)))
+
     def quantified(self, node: Quantifier) -> Column:
         test = F.exists if node.op == "Any" else F.forall
         arg = node.arg
@@ -232,19 +268,25 @@ class Lowering:
         if isinstance(node.arg, Access):
             array = self.value(node.arg).column
             return array.isNotNull() & test(F.filter(array, lambda x: x.isNotNull()), lambda x: x)
-        if isinstance(arg, Compare) and arg.left.each:
-            items = self.container(arg.left)
-            found = test(items.column, lambda x: self.leaf(arg, Value(x, items.type.item, items.text)))
+        each = self.elementwise(arg)
+        if each:
+            items = self.container(each[0])
+            found = test(items.column, lambda x: each[1](Value(x, items.type.item, items.text)))
             return items.column.isNotNull() & found if node.op == "Any" else items.column.isNull() | found
         return test(self.vec(arg), lambda x: x)
 
     def vec(self, node: Any) -> Column:
+        each = self.elementwise(node)
+        if each:
+            items = self.container(each[0])
+            array = F.transform(items.column, lambda x: each[1](Value(x, items.type.item, items.text)))
+            return F.coalesce(array, F.array().cast("array<boolean>"))
         if isinstance(node, Group):
             return self.vec(node.inner)
         if isinstance(node, Not):
             return F.transform(self.vec(node.arg), lambda x: ~x)
         if isinstance(node, Logic):
-            fold = {"And": lambda a, b: a & b, "Or": lambda a, b: a | b, "Xor": lambda a, b: a != b}[node.op]
+            fold = FOLDS[node.op]
 
             def zipped(a: Column, b: Column) -> Column:
                 n = F.least(F.size(a), F.size(b))

@@ -143,7 +143,7 @@ def random_leaf(r):
     test = lambda left: r.choice([f"{left} {order} {quoted()}", f"{left} contains {quoted()}", f'{left} ~ "{r.choice(["a", "^a", "b$", "^.$", "[ab]+", ""])}"', f"{left} wildcard {r.choice(['"a*"', '"*b"', '"A*"', '"*"', '"é"'])}", f'{left} strict wildcard "A*"', f"{left} in {{{quoted()} {quoted()}}}", f"{left} in $hosts"])
     count = lambda left: r.choice([f"{left} {order} {ints()}", f"{left} & {r.choice(['1', '2', '6'])}", f"{left} in {{{ints()} 1..3 2..7}}", f"{left} in $even", f"{left} in {{}}"])
     address = lambda left: r.choice([f"{left} {order} {ip}", f"{left} in {{1.2.3.0/29 ::1..::2}}"])
-    vec = lambda: r.choice([test("cookies[*]"), test("headers[*]"), test("grid[*][*]"), test("grid[*][1]"), test("mb[*][*]"), count("ports[*]"), count("len(cookies[*])[*]"), address("ips[*]"), "flags", "more", 'mba["a"]', "(flags)"])
+    vec = lambda: r.choice([test("cookies[*]"), test("headers[*]"), test("grid[*][*]"), test("grid[*][1]"), test("mb[*][*]"), count("ports[*]"), count("len(cookies[*])[*]"), test("lower(cookies[*])[*]"), count("len(upper(cookies[*])[*])[*]"), address("ips[*]"), "flags", "more", 'mba["a"]', "(flags)"])
     kind = r.randrange(6)
     if kind == 0:
         return test(byte)
