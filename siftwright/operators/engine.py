@@ -66,7 +66,7 @@ class BoundFrame:
                     column = column.cast(f.type.spark(_has_text(kind)))
             if strict and not f.optional:
                 column = F.when(column.isNull(), F.raise_error(F.lit(f"mandatory field {f.name} has no value"))).otherwise(column)
-            self.values[f.name] = Value(column, f.type, _has_text(kind) or f.type.leaf == IP)
+            self.values[f.name] = Value(column, f.type, _has_text(kind) or f.type.leaf == IP, dense=not getattr(kind, "containsNull", True))
 
     def _node(self, what: str | Filter, settings: Settings | None = None) -> Any:
         if isinstance(what, str):

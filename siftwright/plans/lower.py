@@ -34,12 +34,14 @@ FOLDS: dict[str, Callable[[Column, Column], Column]] = {"And": lambda a, b: a &
 
 @dataclass
 class Value:
-    """A column of a type; ``text``: byte strings inside are Spark strings, not binary. ``literal``: a constant's value."""
+    """A column of a type; ``text``: byte strings inside are Spark strings, not binary. ``literal``: a constant's value.
+    ``dense``: an array whose type says that no item is NULL."""
 
     column: Column
     type: Type
     text: bool = True
     literal: Any = None
+    dense: bool = False
 
 
 def _utf8(data: bytes) -> str | None:
@@ -122,7 +124,7 @@ class Lowering:
     def container(self, node: Access) -> Value:
         """An array of all elements that the steps reach, without NULLs; NULL if the way to the first ``[*]`` is missing."""
         v, kind, mapped = self.base(node.base), node.base.type, False
-        column = v.column
+        column, dense = v.column, v.dense
         for s in node.steps:
             if isinstance(s, Each):
                 inner = (lambda k: lambda c: self.items(c, k))(kind)
@@ -134,7 +136,7 @@ class Lowering:
                 column = F.transform(column, (lambda st: lambda x: self.step(x, st))(s))
             else:
                 column = self.step(column, s)
-            if mapped:
+            if mapped and not (dense and s is node.steps[0]):
                 column = F.filter(column, lambda x: x.isNotNull())
             kind = kind.item
         return Value(column, Type("Array", kind), v.text)
@@ -267,12 +269,13 @@ class Lowering:
             arg = arg.inner
         if isinstance(node.arg, Access):
             array = self.value(node.arg).column
-            return array.isNotNull() & test(F.filter(array, lambda x: x.isNotNull()), lambda x: x)
+            return F.coalesce(test(F.filter(array, lambda x: x.isNotNull()), lambda x: x), F.lit(False))
         each = self.elementwise(arg)
         if each:
             items = self.container(each[0])
             found = test(items.column, lambda x: each[1](Value(x, items.type.item, items.text)))
-            return items.column.isNotNull() & found if node.op == "Any" else items.column.isNull() | found
+            # NULL for a missing container only; asking for that first would build the container twice.
+            return F.coalesce(found, F.lit(node.op == "All"))
         return test(self.vec(arg), lambda x: x)
 
     def vec(self, node: Any) -> Column:
