@@ -12,10 +12,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node that it knows."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    # The sum hides that these rows are dealt by a already: both sides of the join are then exchanged for it, and Spark can
-    # split a node with very many neighbours.
-    least = least.select((F.col("a") + F.lit(0)).alias("a"), "m")
-    return both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
+    # Joined by another key than the one these rows are grouped by: both sides are then exchanged for the join, and Spark
+    # can split a node with very many neighbours.
+    least = least.select(F.bitwise_not("a").alias("key"), "m")
+    return both.where("b > a").join(least, F.bitwise_not("a") == F.col("key")).where("b <> m").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
