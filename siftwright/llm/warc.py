@@ -79,8 +79,8 @@ def parse(data: bytes) -> dict:
 class Bundle:
     """Writes records into frames of a stream."""
 
-    def __init__(self, out) -> None:
-        self.out, self.codec = out, zstandard.ZstdCompressor(level=LEVEL)
+    def __init__(self, out, frame_bytes: int = FRAME_BYTES) -> None:
+        self.out, self.frame_bytes, self.codec = out, frame_bytes, zstandard.ZstdCompressor(level=LEVEL)
         self.frames: list[tuple[int, int]] = []
         self.index: list[tuple[str, int, int, int]] = []
         self.held, self.held_bytes, self.size = [], 0, 0
@@ -89,7 +89,7 @@ class Bundle:
         self.index.append((name, len(self.frames), self.held_bytes, len(record)))
         self.held.append(record)
         self.held_bytes += len(record)
-        if self.held_bytes >= FRAME_BYTES:
+        if self.held_bytes >= self.frame_bytes:
             self.flush()
 
     def flush(self) -> None:
@@ -145,7 +145,7 @@ class Reader:
             yield self.at(*place)
 
 
-def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _write(folder: str, frame_bytes: int, bundle_bytes: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     system, base = fs.FileSystem.from_uri(folder)
     bundle = out = None
     name = ""
@@ -161,16 +161,16 @@ def _write(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
                 name = f"{uuid.uuid4().hex}.warc.zst"
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{base}/{name}", compression=None)
-                bundle = Bundle(out)
+                bundle = Bundle(out, frame_bytes)
             bundle.add(record_id(page_id, digest), build(page_id, url, html or b"", length, digest, first, kind))
-            if bundle.size >= BUNDLE_BYTES:
+            if bundle.size >= bundle_bytes:
                 yield done()
                 bundle = None
     if bundle is not None:
         yield done()
 
 
-def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes ``page_id, url, html`` rows as bundles; returns the written table ``path, records, bytes`` of these."""
     folder = folder or new_path(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None
     rows = rows.join(firsts, "digest", "left").withColumn("kind", F.when(again, "revisit").otherwise("response"))
     payload = F.when(F.col("kind") == "response", F.col("html").cast("binary"))
     rows = rows.select("page_id", "url", payload.alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("length"), "digest", "first", "kind")
-    return written(arrow_map(rows, lambda b: _write(folder, b), "path string, records long, bytes long"), "bundles")
+    return written(arrow_map(rows, lambda b: _write(folder, frame_bytes, bundle_bytes, b), "path string, records long, bytes long"), "bundles")
 
 
 def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

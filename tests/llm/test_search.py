@@ -120,16 +120,14 @@ def test_chats(spark):
 # ---- archives
 
 
-def test_archives(spark, monkeypatch):
-    monkeypatch.setattr(warc, "FRAME_BYTES", 2000)
-    monkeypatch.setattr(warc, "BUNDLE_BYTES", 3000)
+def test_archives(spark):
     r = random.Random(2)
     text = lambda n: "".join(r.choice("abc é\r\n:<>") for _ in range(n))
     big, edge = text(400), "é" * 50
     pages = [(i, f"http://x/{i}?é \r\n", text(r.randrange(600))) for i in range(200)] + [(300 + i, None, big) for i in range(40)] + [(400 + i, "u", "small") for i in range(3)]
     pages += [(500, "u", edge), (499, "u", edge), (501, "u", "x" * 99), (502, "u", "x" * 99), (503, None, None), (504, "", ""), (None, "u", big), (None, None, None), (300, "again", big), (505, "u", "WARC/1.1\r\n\r\n" * 20), (506, "u", text(50000))]
     df = spark.createDataFrame([(*x, "d", 1) for x in pages], "page_id long, url string, html string, digest string, first int").repartition(4)
-    bundles = warc.write_archives(df)
+    bundles = warc.write_archives(df, frame_bytes=2000, bundle_bytes=3000)
     got = sorted((tuple(x) for x in warc.read_archives(bundles, payloads=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload").collect()), key=repr)
     wanted = []
     for page_id, _, html in pages:
