@@ -1,23 +1,25 @@
-"""Benchmark decontamination: SimHash of item-sized windows, a multi-index of Hamming blocks, exact shingle similarity.
+"""Benchmark decontamination: SimHash of shingle windows, a multi-index of Hamming blocks, exact shingle similarity.
 
-Benchmark items are fingerprinted by 64-bit SimHashes of word windows. Window sizes are steps of a geometric scale; an item
-has, at its start and end, windows of the largest step under its length (item-sized) and of the largest step up to half of it,
-so that an edit spoils one of them at most. Of a document every window of these sizes is fingerprinted. Fingerprints are
-cut into RADIUS + 1 blocks: two within RADIUS bits agree in one block at least, so looking each block up in the
-items' tables finds all pairs within the radius. Each such pair places an item in the document; the item-sized window there is
-then compared exactly: sums of minimum over sums of maximum of the multiplicities of its ``k``-word shingles and the item's
-(weighted Jaccard similarity), against ``percent``. A document is contaminated by the items that reach it.
+A document is contaminated by the items that one of its item-sized windows (clipped at the document's ends) reaches: sums of
+minimum over sums of maximum of the multiplicities of the window's ``k``-word shingles and the item's (weighted Jaccard
+similarity) against ``percent``.
+
+A window that reaches an item of m shingles has at least ``percent`` of these, so it misses at most d = m - ceil(m * percent / 100).
+Of each item so many shingles are fingerprinted, those of fewest items first, that they occur d + 1 times in it: one of them at
+least stands in the window word by word, wherever the edits are. Fingerprints are 64-bit SimHashes of windows of ``k`` words. They
+are cut into RADIUS + 1 blocks: two within RADIUS bits agree in one block at least, so looking each block up in the items' tables
+finds all pairs within the radius, and equal windows, at distance 0, always. Of each pair of document and item that is found,
+all windows are then compared exactly, by sums over the shingles in common.
 
 The benchmark is held in memory by each task in parts of at most MAX_ITEMS items; a larger one takes further passes over the
 same rows, in one pipeline without a shuffle. Documents are never moved or grouped.
 
-Defined results: null and empty texts and items match nothing. An item or window with fewer than ``k`` words is one shingle.
-Items under MIN_WORDS words are looked up by a window of their whole length. Each row gives one row.
+Defined results: null and empty texts and items match nothing. An item or window with fewer than ``k`` words is one shingle, so
+such items are looked up by a window of their whole length. Each row gives one row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,19 +31,12 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, slices
 from ._words import U, runs, words
 
-RADIUS, MIN_WORDS, STEP = 3, 8, 1.5
+RADIUS = 3
 MAX_ITEMS = 20000
 IDS, BEST = "__sw_item_ids", "__sw_best"
 _ROWS = 8192
 
 
-def sizes_up_to(n: int) -> list[int]:
-    out = [MIN_WORDS]
-    while (after := round(out[-1] * STEP)) <= n:
-        out.append(after)
-    return [x for x in out if x <= n]
-
-
 def simhashes(hashes: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
     """For each size the SimHash of each window of so many words."""
     n = len(hashes)
@@ -95,61 +90,80 @@ class Index:
         return (np.concatenate(rows), np.concatenate(found)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
-def similarity(a: np.ndarray, b: np.ndarray, k: int) -> float:
-    """Weighted Jaccard similarity of two word sequences' shingles."""
-    x, y = (Counter(runs(v, min(k, len(v))).tolist()) for v in (a, b))
-    common = sum((x & y).values())
-    whole = sum((x | y).values())
-    return common / whole if whole else 0.0
+def most_similar(text: np.ndarray, m: int, values: np.ndarray, counts: np.ndarray) -> tuple[int, int]:
+    """Of all windows of ``m`` shingles of ``text`` (fewer at its ends) the one most like an item of ``m`` shingles, the sorted
+    ``values`` with ``counts``: the sums of minimum and of maximum multiplicities. Zero and one without a shingle in common."""
+    code = np.minimum(np.searchsorted(values, text), len(values) - 1)
+    places = np.flatnonzero(values[code] == text)
+    if not len(places):
+        return 0, 1
+    order = np.argsort(code[places], kind="stable")
+    code, places = code[places][order], places[order]
+    # A place adds to the windows that hold it but not the place ``count`` before it of the same shingle.
+    before = np.arange(len(places)) - counts[code]
+    full = before >= np.searchsorted(code, code)
+    low = np.maximum(places - m, np.where(full, places[np.maximum(before, 0)], -m)) + 1
+    starts = np.unique(np.concatenate([low, places]))
+    common = np.searchsorted(np.sort(low), starts, side="right") - np.searchsorted(np.sort(places), starts)
+    whole = m + np.minimum(starts + m, len(text)) - np.maximum(starts, 0) - common
+    best = int(np.argmax(common / whole))
+    return int(common[best]), int(whole[best])
 
 
 class Benchmark:
-    """Items' word hashes and the index of each window size."""
+    """Items' shingles and the index of each window size."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], k: int, percent: int) -> None:
         found = words(pa.array([t for _, t in items], pa.string()))
-        self.ids, self.words = [], []
+        self.ids, self.sizes, self.shingles = [], [], []
+        texts, places = [], []
         for i, (item_id, _) in enumerate(items):
             if found.first[i + 1] > found.first[i]:
+                texts.append(found.hashes[found.first[i] : found.first[i + 1]])
                 self.ids.append(item_id)
-                self.words.append(found.hashes[found.first[i] : found.first[i + 1]])
+                self.sizes.append(min(k, len(texts[-1])))
+                values, at, counts = np.unique(runs(texts[-1], self.sizes[-1]), return_index=True, return_counts=True)
+                self.shingles.append((values, counts))
+                places.append(at)
+        shared = dict(zip(*(x.tolist() for x in np.unique(np.concatenate([v for v, _ in self.shingles]), return_counts=True)))) if texts else {}
         wanted: dict[int, list[tuple[int, int]]] = {}
-        for i, w in enumerate(self.words):
-            n = len(w)
-            for size in {s[-1] for s in (sizes_up_to(n - 1), sizes_up_to(n // 2)) if s} or {n}:
-                wanted.setdefault(size, []).extend((i, at) for at in sorted({0, n - size}))
+        for i, (values, counts) in enumerate(self.shingles):
+            m = int(counts.sum())
+            rarest = np.argsort([shared[v] for v in values.tolist()], kind="stable")
+            missed = np.cumsum(counts[rarest]) - counts[rarest]  # by a window with none of the shingles before
+            most = m + -percent * m // 100
+            wanted.setdefault(self.sizes[i], []).extend((i, at) for at in places[i][rarest[missed <= most]].tolist())
         self.index = {}
-        for size, places in sorted(wanted.items()):
-            prints = [dict(simhashes(self.words[i][at : at + size], [size]))[size][0] for i, at in places]
-            self.index[size] = Index(np.array(prints, U), np.array([p[0] for p in places]), np.array([p[1] for p in places]))
+        for size, chosen in sorted(wanted.items()):
+            joined = np.concatenate([texts[i][at : at + size] for i, at in chosen])
+            prints = dict(simhashes(joined, [size]))[size][::size].copy()
+            self.index[size] = Index(prints, np.array([c[0] for c in chosen]), np.array([c[1] for c in chosen]))
 
-    def matches(self, text: np.ndarray, first: np.ndarray, k: int, percent: int) -> list[dict[int, float]]:
+    def matches(self, text: np.ndarray, first: np.ndarray, percent: int) -> list[dict[int, float]]:
         """For each document (word hashes ``text[first[d]:first[d + 1]]``) the items that reach the limit, with similarities."""
         out: list[dict[int, float]] = [{} for _ in range(len(first) - 1)]
         owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        tried: set[tuple[int, int, int]] = set()
         for size, prints in simhashes(text, list(self.index)):
             rows, entries = self.index[size].near(prints)
-            inside = owner[rows] == owner[rows + size - 1] if len(rows) else rows
-            for row, entry in zip(rows[inside].tolist(), entries[inside].tolist()) if len(rows) else ():
-                item = int(self.index[size].items[entry])
-                d, start = int(owner[row]), row - int(self.index[size].offsets[entry])
-                if (d, item, start) in tried:
-                    continue
-                tried.add((d, item, start))
-                window = text[max(start, first[d]) : min(start + len(self.words[item]), first[d + 1])]
-                found = similarity(window, self.words[item], k)
-                if 100 * found >= percent and found > out[d].get(self.ids[item], 0):
-                    out[d][self.ids[item]] = found
+            inside = owner[rows] == owner[rows + size - 1]
+            pairs = np.unique(np.stack([owner[rows[inside]], self.index[size].items[entries[inside]]]), axis=1)
+            last, shingles = -1, None
+            for d, item in pairs.T.tolist():
+                if d != last:
+                    last, shingles = d, runs(text[first[d] : first[d + 1]], size)
+                values, counts = self.shingles[item]
+                common, whole = most_similar(shingles, int(counts.sum()), values, counts)
+                if common and 100 * common >= percent * whole:
+                    out[d][self.ids[item]] = max(common / whole, out[d].get(self.ids[item], 0))
         return out
 
 
-def _matched(bench: Benchmark, k: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matched(bench: Benchmark, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, best = [], []
         for start, end in slices(batch.column("text")):
             found = words(batch.column("text").slice(start, end - start))
-            for d, hits in enumerate(bench.matches(found.hashes, found.first, k, percent), start):
+            for d, hits in enumerate(bench.matches(found.hashes, found.first, percent), start):
                 before = batch.column(IDS)[d].as_py()
                 ids.append(sorted({*before, *hits}))
                 best.append(max([batch.column(BEST)[d].as_py(), *hits.values()]))
@@ -165,8 +179,8 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     for part in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        bench = Benchmark(sorted((r["item_id"], r["text"]) for r in mine))
-        rows = arrow_map(rows, lambda b, bench=bench: _matched(bench, k, percent, b), schema)
+        bench = Benchmark(sorted((r["item_id"], r["text"]) for r in mine), k, percent)
+        rows = arrow_map(rows, lambda b, bench=bench: _matched(bench, percent, b), schema)
     return rows
 
 

@@ -204,3 +204,31 @@ def test_contamination(spark):
     parts = decontaminate.with_matches(frame(spark, rows), bench, max_items=3).collect()
     assert {x.doc_id: x[decontaminate.IDS] for x in parts} == {k: x.item_ids for k, x in got.items()}
     assert weighted("a a a b".split(), "a a a b".split(), 5) == 1
+
+
+def test_contamination_wherever_the_edits_are(spark):
+    """Both end words changed, two or three edits spread over the item, halves swapped, words repeated: as brute force has it."""
+    r, items, rows = random.Random(9), [], []
+    for n in [9, 12, 14, 17, 20, 24, 31, 40, 47, 60, 75, 97] * 6:
+        w = prose(r, n, 4 if len(items) % 6 == 5 else 3000)
+        items.append((len(items), " ".join(w)))
+        far = lambda i: f"e{r.randrange(10**6)}" if i in (n // 4, n // 2, 3 * n // 4) else w[i]
+        for v in (
+            [f"({w[0]}", *w[1:-1], f"{w[-1]}.)"],
+            [f"({w[0]}", *(x if i != n // 2 else "other" for i, x in enumerate(w[1:-1], 1)), f"{w[-1]}.)"],
+            [far(i) for i in range(n)],
+            edited(r, w, 2),
+            edited(r, w, 3),
+            w[n // 2 :] + w[: n // 2],
+            w[: n // 2] + ["new"] + w[n // 2 :],
+            w[n // 5 :],
+        ):
+            rows.append((len(rows), " ".join(prose(r, r.randrange(6), 3000) + v + prose(r, r.randrange(6), 3000))))
+    wanted = {d: contaminated(t, items[d // 8 : d // 8 + 1], 5, 80) for d, t in rows}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {x.doc_id: x.item_ids for x in decontaminate.contamination(frame(spark, rows), bench).collect()}
+    assert sum(bool(w) for w in wanted.values()) > 100
+    missed = [d for d, w in wanted.items() if not set(w) <= set(got[d])]
+    assert not missed, (len(missed), [rows[d] for d in missed[:2]])
+    others = {d: set(x) - set(wanted[d]) for d, x in got.items()}
+    assert all(contaminated(rows[d][1], [items[i]], 5, 80) == [i] for d, more in others.items() for i in more)
