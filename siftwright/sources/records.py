@@ -17,7 +17,7 @@ from ..errors import MissingField, SchemeMismatch, TypeMismatch, UnknownField
 from ..plans.interp import Interpreter
 from ..plans.nodes import FieldRef
 from ..scheme import Scheme
-from ..types import IP, Type
+from ..types import BYTES, Type
 from .addresses import ip_from_text
 
 
@@ -176,30 +176,45 @@ class Record:
 # ---- frames
 
 
-def _decoded(v: Column, path: str, kind: Type) -> Column:
-    """A field of a variant column."""
-    get = lambda t: F.try_variant_get(v, path, t)
+def _decoded(v: Column, kind: Type) -> Column:
+    """A variant as a value, as ``from_json`` has it: NULL stays, what is of another type raises an error."""
+    get = lambda t: F.try_variant_get(v, "$", t)
+    form = F.schema_of_variant(v)
+    wrong = F.raise_error(F.concat(F.lit(f"expected value of type {kind}, but got "), F.coalesce(F.to_json(v), F.lit("null"))))
     if kind.name in ("Bool", "Int"):
-        return get("boolean" if kind.name == "Bool" else "bigint")
-    if kind.name == "Ip":
-        return ip_from_text(get("string"))
-    if kind.name == "Bytes":
-        numbers = get("array<int>")
-        as_bytes = F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
-        return F.coalesce(as_bytes.cast("string"), get("string"))
-    if kind.leaf == IP:
-        raise TypeError("containers of addresses are not read from JSON columns")
-    return get(kind.spark().simpleString())
+        name = "boolean" if kind.name == "Bool" else "bigint"
+        found = F.when(form == name.upper(), get(name))
+    elif kind.name == "Ip":
+        found = F.when(form == "STRING", ip_from_text(get("string")))
+    elif kind.name == "Bytes":
+        numbers = get("array<variant>")
+        is_byte = lambda x: (F.schema_of_variant(x) == "BIGINT") & F.try_variant_get(x, "$", "bigint").between(0, 255)
+        as_bytes = F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(F.try_variant_get(x, "$", "bigint")), 2, "0")), ""))
+        found = F.when(form == "STRING", get("string")).when(F.forall(numbers, is_byte), as_bytes.cast("string"))
+    elif kind.name == "Array":
+        found = F.transform(get("array<variant>"), lambda x: _decoded(x, kind.item))
+    else:
+        bad_pair = F.raise_error(F.lit(f"expected value of type {kind}, but got a list of other things than [key, value] pairs"))
+        pair = lambda p: F.when(F.size(p) == 2, F.struct(_decoded(F.get(p, F.lit(0)), BYTES).alias("key"), F.get(p, F.lit(1)).alias("value"))).otherwise(bad_pair)
+        pairs = F.transform(get("array<array<variant>>"), pair)
+        entries = F.coalesce(F.map_entries(get("map<string,variant>")), pairs)
+        # Of equal keys in pairs the last counts.
+        last = lambda e, i: F.array_position(F.reverse(F.transform(entries, lambda x: x["key"])), e["key"]) == F.size(entries) - i
+        entries = F.filter(entries, last)
+        found = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"].alias("key"), _decoded(e["value"], kind.item).alias("value"))))
+    return F.when(v.isNotNull(), F.coalesce(found, wrong))
 
 
 def read_records(df: DataFrame, scheme: Scheme, column: str = "value") -> DataFrame:
-    """A column of JSON records as a frame of the scheme's fields; unknown keys raise an error, absent fields are NULL."""
+    """A column of JSON records as a frame of the scheme's fields; unknown keys and values of other types raise an error, absent
+    fields are NULL."""
     known = [f.name for f in scheme.fields]
-    keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    keys = F.when(F.col(column).isNotNull(), F.coalesce(F.json_object_keys(column), F.raise_error(F.lit("a record is a JSON object"))))
     unknown = F.array_except(keys, F.array(*[F.lit(k) for k in [*known, "$lists"]]))
     checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown field: "), unknown[0]))).otherwise(F.parse_json(F.col(column)))
     parsed = df.select(checked.alias("_record"))
-    return parsed.select(*[_decoded(F.col("_record"), f'$["{f.name}"]', f.type).alias(f.name) for f in scheme.fields])
+    fields = parsed.select(*[F.try_variant_get("_record", f'$["{f.name}"]', "variant").alias(f.name) for f in scheme.fields])
+    return fields.select(*[_decoded(F.col(f"`{f.name}`"), f.type).alias(f.name) for f in scheme.fields])
 
 
 def _ip_text(c: Column) -> Column:
@@ -227,8 +242,10 @@ def _encoded(c: Column, kind: Type) -> Column:
         return _quoted(c)
     if kind.name == "Array":
         return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _encoded(x, kind.item)), ","), F.lit("]"))
-    one = lambda k: F.concat(_quoted(k), F.lit(":"), _encoded(F.try_element_at(c, k), kind.item))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(c)), one), ","), F.lit("}"))
+    named = F.forall(F.map_keys(c), lambda k: F.is_valid_utf8(k.cast("string")))
+    mark = lambda x, y: F.when(named, F.lit(x)).otherwise(F.lit(y))
+    one = lambda k: F.concat(mark("", "["), _quoted(k), mark(":", ","), _encoded(F.try_element_at(c, k), kind.item), mark("", "]"))
+    return F.concat(mark("{", "["), F.array_join(F.transform(F.array_sort(F.map_keys(c)), one), ","), mark("}", "]"))
 
 
 def write_records(frame: Any) -> DataFrame:

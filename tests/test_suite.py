@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 import siftwright as S
 from siftwright import facade, suite
+from siftwright.errors import TypeMismatch
 from siftwright.operators.lists import INLINE_VALUES
 from siftwright.sources.addresses import ip_from_text
-from siftwright.sources.records import guess, read_records, write_records
+from siftwright.sources.records import Record, guess, read_records, write_records
 from siftwright.streaming import filter_batches, route
 
 SF = f"{DATA}/sf0.001"
@@ -96,6 +97,36 @@ def test_json_frames(spark):
     assert guess("127.0.0.1")[1] == S.IP and guess("1337") == (b"1337", S.BYTES) and guess(True)[1] == S.BOOL and guess(5)[1] == S.INT
 
 
+def test_json_frames_have_what_single_records_have(spark):
+    """Byte strings that are not UTF-8 anywhere, pair lists, addresses in containers, and wrong types."""
+    fields = {"a": S.Array(S.BYTES), "aa": S.Array(S.Array(S.BYTES)), "m": S.Map(S.BYTES), "ma": S.Map(S.Array(S.INT)), "mm": S.Map(S.Map(S.BOOL)), "ips": S.Array(S.IP), "mip": S.Map(S.IP), "i": S.INT, "b": S.BOOL, "ip": S.IP, "s": S.BYTES}
+    scheme = S.SchemeBuilder(fields).add_functions(S.standard_functions()).build()
+    forms = [
+        {"a": ["ok", [255, 254], "", "[255,254]", "\u00e9\n\""], "aa": [[], [[128]], ["x", "y"]], "m": {"k": [255], "j": "x"}},
+        {"m": [["a", "y"], [[255], "x"], [[255, 0], [200]]], "ma": [["b", []], [[129], [1, -2]]], "mm": {"x": [["c", True], [[200], False]], "y": {}}},
+        {"ips": ["1.2.3.4", "10.0.0.1"], "mip": {"a": "9.9.9.9"}, "i": 5, "b": False, "ip": "1.1.1.1", "s": [97, 255]},
+        {"a": [], "m": {}, "ips": [], "s": ""},
+        {},
+    ]
+    frame = lambda rows, scheme=scheme: read_records(spark.createDataFrame([(json.dumps(f),) for f in rows], "value string").coalesce(1), scheme)
+    bound = S.bind(frame(forms), scheme)
+    assert [json.loads(r.record) for r in write_records(bound).collect()] == [Record(scheme).load_json(f).to_json() for f in forms] == forms
+    for text in (r'any(a[*] == "\xff\xfe")', 'any(ips[*] in {10.0.0.0/8})', 'm["k"] == "\\xff"', 'mip["a"] == 9.9.9.9'):
+        assert bound.filter(text).count() == 1, text
+    odd = [{"m": []}, {"m": [["a", "x"], ["a", "y"]]}]
+    only = S.SchemeBuilder({"m": S.Map(S.BYTES)}).build()
+    assert [json.loads(r.record) for r in write_records(S.bind(frame(odd, only), only)).collect()] == [Record(scheme).load_json(f).to_json() for f in odd]
+    wrong = [{"i": "5"}, {"i": 1.5}, {"i": 1.0}, {"i": True}, {"i": None}, {"i": 1 << 63}, {"b": 1}, {"b": "true"}, {"s": 5}, {"s": [256]}, {"s": [-1]}, {"s": ["a"]}, {"s": {}}, {"ip": "x"}, {"ip": 1}]
+    wrong += [{"a": ["x", 5]}, {"a": [None]}, {"a": "x"}, {"m": [["a"]]}, {"m": ["a"]}, {"m": {"a": 1}}, {"m": 5}, {"ma": {"a": ["1"]}}, {"ips": ["1.2.3"]}]
+    for form in wrong:
+        with pytest.raises(TypeMismatch):
+            Record(scheme).load_json(form)
+        with pytest.raises(Exception, match="expected value of type"):
+            frame([form], S.SchemeBuilder({n: fields[n] for n in form}).build()).collect()
+    with pytest.raises(Exception, match="a record is a JSON object"):
+        frame([[1]], S.SchemeBuilder({"i": S.INT}).build()).collect()
+
+
 def test_streams(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(f"{SF}/events.parquet").schema).parquet(f"{SF}/events*.parquet")
     b = suite.BINDINGS["ev"]
