@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..types import Type
-
-#: A list of more values than this is joined, not written into the plan.
-INLINE_VALUES = 300
+from ..errors import TypeMismatch
+from ..sources.addresses import ip_from_text
+from ..sources.values import from_json, to_json
+from ..types import BYTES, INT, IP, Type, from_spark
 
 
 class ListDefinition:
@@ -24,9 +25,12 @@ class ListDefinition:
         """Whether a non-null value is in the list."""
         raise NotImplementedError
 
-    def to_json(self) -> Any:
+    def to_json(self, kind: Type) -> Any:
         return None
 
+    def load_json(self, form: Any, kind: Type) -> None:
+        """Takes back what ``to_json`` gave."""
+
     def clear(self) -> None:
         """Forgets all values."""
 
@@ -52,23 +56,42 @@ class AlwaysList(NeverList):
         return F.lit(self.matches)
 
 
+def _typed(value: Any, kind: Type) -> Any:
+    """A list's value as fields hold it: packed addresses, byte strings as bytes."""
+    if kind == IP and not isinstance(value, (bytes, bytearray)):
+        return ipaddress.ip_address(value).packed
+    return value.encode() if isinstance(value, str) else bytes(value) if isinstance(value, bytearray) else value
+
+
 class SetList(ListDefinition):
-    """Values by list name, written into the plan."""
+    """Values by list name, written into the plan. Addresses may be packed or texts, byte strings bytes or texts."""
 
     def __init__(self, values: Mapping[str, Iterable[Any]]) -> None:
         self.values = {k: list(v) for k, v in values.items()}
 
     def match(self, name: str, value: Any) -> bool:
-        return value in self.values.get(name, ())
+        kind = INT if isinstance(value, int) else BYTES
+        found = self.values.get(name, ())
+        return value in [_typed(x, kind) for x in found] or (kind == BYTES and value in [_typed(x, IP) for x in found if isinstance(x, (ipaddress.IPv4Address, ipaddress.IPv6Address))])
 
     def column(self, name: str, value: Column, kind: Type, text: bool) -> Column:
-        found = self.values.get(name, [])
-        if not found:
-            return F.lit(False)
-        return value.isin([x.decode() if text and isinstance(x, bytes) else x for x in found])
-
-    def to_json(self) -> Any:
-        return {k: [x.decode("utf-8", "replace") if isinstance(x, bytes) else x for x in v] for k, v in sorted(self.values.items())}
+        found = [_typed(x, kind) for x in self.values.get(name, [])]
+        if kind != BYTES or not text:
+            return value.isin(found) if found else F.lit(False)
+        texts, raw = [], []
+        for x in found:
+            try:
+                texts.append(x.decode())
+            except UnicodeDecodeError:
+                raw.append(x)
+        parts = [*([value.isin(texts)] if texts else []), *([value.cast("binary").isin(raw)] if raw else [])]
+        return parts[0] | parts[1] if len(parts) == 2 else parts[0] if parts else F.lit(False)
+
+    def to_json(self, kind: Type) -> Any:
+        return {k: [to_json(_typed(x, kind), kind) for x in v] for k, v in sorted(self.values.items())}
+
+    def load_json(self, form: Any, kind: Type) -> None:
+        self.values = {k: [from_json(x, kind) for x in v] for k, v in form.items()}
 
     def clear(self) -> None:
         self.values = {}
@@ -88,24 +111,40 @@ class RuleList(ListDefinition):
 
 
 class TableList(ListDefinition):
-    """Values in the rows of a frame (columns name, value) of any size; filters join it.
+    """Values in the rows of a frame (columns name, value) of any size; bound frames join it, never collect it.
 
     As a whole conjunct the membership is a semi-join. Under ``or``, ``not`` and ``xor`` it is a flag from an outer join
-    with the distinct values. Spark chooses the join by the list's size. Under ``[*]`` the field's distinct
-    values are not known to a join; there the list is collected if it has INLINE_VALUES values at most, else it is an error.
+    with the distinct values. Under ``[*]`` the distinct arrays of a field's elements are joined to the list, and
+    each row gets those of its elements that are in it. Spark chooses each join by the list's size. Lists of addresses may hold
+    packed bytes or texts; a text that is no address is an error where it is read.
     """
 
     def __init__(self, frame: DataFrame, name: str = "name", value: str = "value") -> None:
         self.frame = frame.select(F.col(name).alias("name"), F.col(value).alias("value")).where("value is not null")
 
-    def rows(self, name: str) -> DataFrame:
-        return self.frame.where(F.col("name") == name).select("value").distinct()
+    def rows(self, name: str, kind: Type, text: bool = True) -> DataFrame:
+        """The list's distinct values, as fields of the type hold them (``text``: byte strings as strings)."""
+        stored, value = self.frame.schema["value"].dataType, F.col("value")
+        is_text = stored.simpleString().startswith("string")
+        if kind == IP and is_text:
+            value = F.coalesce(ip_from_text(value), F.raise_error(F.concat(F.lit("not an address: "), value)))
+        elif from_spark(stored) != (BYTES if kind == IP else kind):
+            raise TypeMismatch(f"the list is of {kind}, but its column is {from_spark(stored)}")
+        elif kind == BYTES and is_text != text:
+            value = value.cast("string" if text else "binary")
+        return self.frame.where(F.col("name") == name).select(value.alias("value")).distinct()
 
     def match(self, name: str, value: Any) -> bool:
-        return value in {bytes(x) if isinstance(x, bytearray) else x.encode() if isinstance(x, str) else x for (x,) in self.rows(name).collect()}
+        """One value's membership, by a filtered query that stops at the first match."""
+        if isinstance(value, (bytes, bytearray)):
+            held = F.col("value").cast("binary")
+            text = self.frame.schema["value"].dataType.simpleString().startswith("string")
+            asked = held == F.lit(bytes(value))
+            if text and len(value) in (4, 16):
+                asked = asked | (ip_from_text(F.col("value")) == F.lit(bytes(value)))
+        else:
+            asked = F.col("value") == F.lit(value)
+        return bool(self.frame.where((F.col("name") == name) & asked).limit(1).count())
 
     def column(self, name: str, value: Column, kind: Type, text: bool) -> Column:
-        found = self.rows(name).limit(INLINE_VALUES + 1).collect()
-        if len(found) > INLINE_VALUES:
-            raise ValueError(f"list ${name} is too large to be used under [*]")
-        return value.isin([x for (x,) in found]) if found else F.lit(False)
+        raise ValueError(f"list ${name} is a table, which has to be joined: use filter, annotate, select or route of a bound frame")

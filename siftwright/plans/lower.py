@@ -81,11 +81,12 @@ class Lowering:
     """Subclass and override ``leaf`` (or any other method) for another compilation of some nodes.
 
     ``fields``: the bound column of each field. ``flags``: columns that stand for some comparisons (list memberships
-    that were joined).
+    that were joined). ``members``: for memberships under ``[*]``, an array of those of a row's elements that are in the list.
     """
 
-    def __init__(self, scheme: Any, fields: dict[str, Value], flags: dict[Compare, Column] | None = None) -> None:
-        self.scheme, self.fields, self.flags = scheme, fields, flags or {}
+    def __init__(self, scheme: Any, fields: dict[str, Value], flags: dict[Compare, Column] | None = None, members: dict[Compare, Column] | None = None) -> None:
+        self.scheme, self.fields = scheme, fields
+        self.flags, self.members = {} if flags is None else flags, {} if members is None else members
 
     # ---- values
 
@@ -141,6 +142,23 @@ class Lowering:
             kind = kind.item
         return Value(column, Type("Array", kind), v.text)
 
+    def tested(self, node: Access, test: Callable, pred: Callable[[Value], Column]) -> Column:
+        """``test`` (exists or forall) of all elements that the steps reach, without building their array; missing ones do not
+        count, and a missing container has none."""
+        every, v = test is F.forall, self.base(node.base)
+
+        def inside(column: Column, kind: Type, steps: tuple, dense: bool) -> Column:
+            for n, s in enumerate(steps):
+                if isinstance(s, Each):
+                    item, rest = kind.item, steps[n + 1 :]
+                    found = test(self.items(column, kind), lambda x: inside(x, item, rest, dense))
+                    return F.coalesce(found, F.lit(every))
+                column, kind, dense = self.step(column, s), kind.item, False
+            found = pred(Value(column, kind, v.text))
+            return found if dense else column.isNull() | found if every else column.isNotNull() & found
+
+        return inside(v.column, node.base.type, node.steps, v.dense and len(node.steps) == 1)
+
     @staticmethod
     def items(column: Column, kind: Type) -> Column:
         if kind.name == "Array":
@@ -174,6 +192,8 @@ class Lowering:
             return self._glob(v, right.pieces(), op == "Wildcard")
         if op == "OneOf":
             return self._one_of(v, right)
+        if node in self.members:
+            return F.coalesce(F.array_contains(self.members[node], c), F.lit(False))
         return self.scheme.lists[v.type].column(right, c, v.type, v.text)
 
     @staticmethod
@@ -272,10 +292,7 @@ class Lowering:
             return F.coalesce(test(F.filter(array, lambda x: x.isNotNull()), lambda x: x), F.lit(False))
         each = self.elementwise(arg)
         if each:
-            items = self.container(each[0])
-            found = test(items.column, lambda x: each[1](Value(x, items.type.item, items.text)))
-            # NULL for a missing container only; asking for that first would build the container twice.
-            return F.coalesce(found, F.lit(node.op == "All"))
+            return self.tested(each[0], test, each[1])
         return test(self.vec(arg), lambda x: x)
 
     def vec(self, node: Any) -> Column:

@@ -6,102 +6,23 @@ with keys that are not UTF-8 are arrays of [key, value] pairs; addresses are str
 
 from __future__ import annotations
 
-import ipaddress
 import json
+from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MissingField, SchemeMismatch, TypeMismatch, UnknownField
-from ..plans.interp import Interpreter
+from ..errors import TypeMismatch, UnknownField
 from ..plans.nodes import FieldRef
 from ..scheme import Scheme
-from ..types import IP, Type
+from ..types import Type
 from .addresses import ip_from_text
-
-
-def bytes_to_json(data: bytes) -> Any:
-    try:
-        return data.decode()
-    except UnicodeDecodeError:
-        return list(data)
-
-
-def bytes_from_json(form: Any) -> bytes:
-    if isinstance(form, str):
-        return form.encode()
-    if isinstance(form, list) and all(isinstance(x, int) and 0 <= x < 256 for x in form):
-        return bytes(form)
-    raise TypeMismatch(f"expected bytes, but got {form!r}")
-
-
-def to_json(value: Any, kind: Type) -> Any:
-    if kind.name == "Bytes":
-        return bytes_to_json(value)
-    if kind.name == "Ip":
-        return str(ipaddress.ip_address(value))
-    if kind.name == "Array":
-        return [to_json(x, kind.item) for x in value]
-    if kind.name == "Map":
-        pairs = [(bytes_to_json(k), to_json(v, kind.item)) for k, v in sorted(value.items())]
-        return dict(pairs) if all(isinstance(k, str) for k, _ in pairs) else [list(p) for p in pairs]
-    return value
-
-
-def from_json(form: Any, kind: Type) -> Any:
-    """A typed value: bool, int, bytes, packed address, list, or dict with bytes keys."""
-    if kind.name == "Bool" and isinstance(form, bool):
-        return form
-    if kind.name == "Int" and isinstance(form, int) and not isinstance(form, bool) and -(1 << 63) <= form < 1 << 63:
-        return form
-    if kind.name == "Bytes":
-        return bytes_from_json(form)
-    if kind.name == "Ip" and isinstance(form, str):
-        try:
-            return ipaddress.ip_address(form).packed
-        except ValueError:
-            pass
-    if kind.name == "Array" and isinstance(form, list):
-        return [from_json(x, kind.item) for x in form]
-    if kind.name == "Map" and isinstance(form, dict):
-        return {k.encode(): from_json(v, kind.item) for k, v in form.items()}
-    if kind.name == "Map" and isinstance(form, list) and all(isinstance(p, list) and len(p) == 2 for p in form):
-        return {bytes_from_json(k): from_json(v, kind.item) for k, v in form}
-    raise TypeMismatch(f"expected value of type {kind}, but got {form!r}")
-
-
-def guess(form: Any) -> tuple[Any, Type]:
-    """The value and type of an untyped JSON scalar: Bool, Int, Ip, Bytes are tried in this order."""
-    for name in ("Bool", "Int", "Ip", "Bytes"):
-        try:
-            return from_json(form, Type(name)), Type(name)
-        except TypeMismatch:
-            continue
-    raise TypeMismatch(f"no scalar type for {form!r}")
-
-
-def check_value(value: Any, kind: Type) -> Any:
-    """``value`` in its kept form; str, bytearray and ipaddress objects are taken too."""
-    if kind.name == "Bool" and isinstance(value, bool):
-        return value
-    if kind.name == "Int" and isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63:
-        return value
-    if kind.name == "Bytes" and isinstance(value, (bytes, bytearray, str)):
-        return value.encode() if isinstance(value, str) else bytes(value)
-    if kind.name == "Ip" and isinstance(value, (str, bytes, ipaddress.IPv4Address, ipaddress.IPv6Address)):
-        if isinstance(value, bytes) and len(value) not in (4, 16):
-            raise TypeMismatch("packed addresses have 4 or 16 bytes")
-        return value if isinstance(value, bytes) else ipaddress.ip_address(value).packed
-    if kind.name == "Array" and isinstance(value, (list, tuple)):
-        return [check_value(x, kind.item) for x in value]
-    if kind.name == "Map" and isinstance(value, dict):
-        return {k.encode() if isinstance(k, str) else bytes(k): check_value(v, kind.item) for k, v in value.items()}
-    raise TypeMismatch(f"expected value of type {kind}, but got {value!r}")
+from .values import check_value, from_json, to_json
 
 
 class Record:
-    """The values of one record of a scheme, and any ``user_data`` beside them."""
+    """The values of one record of a scheme, and any ``user_data`` beside them; :func:`records_frame` makes a frame of many."""
 
     def __init__(self, scheme: Scheme, user_data: Any = None) -> None:
         self.scheme, self.user_data, self._values = scheme, user_data, {}
@@ -132,39 +53,22 @@ class Record:
         self._values = {}
         return out
 
-    def _fetch(self, ref: FieldRef) -> Any:
-        value = self._values.get(ref.name)
-        if value is None and not ref.optional:
-            raise MissingField(f"mandatory field {ref.name} has no value")
-        return value
-
-    def _checked(self, filter_: Any) -> Any:
-        if filter_.scheme is not self.scheme:
-            raise SchemeMismatch("the filter belongs to another scheme")
-        return filter_.node
-
-    def matches(self, filter_: Any) -> bool:
-        return Interpreter(self.scheme, self._fetch).truth(self._checked(filter_))
-
-    def value(self, filter_: Any) -> Any:
-        """A value expression's value, None if it is missing."""
-        return Interpreter(self.scheme, self._fetch).value(self._checked(filter_))
-
     def to_json(self) -> dict[str, Any]:
         out = {f.name: to_json(self._values[f.name], f.type) for f in self.scheme.fields if f.name in self._values}
         if self.scheme.lists:
-            out["$lists"] = [{"type": kind.to_json(), "data": definition.to_json()} for kind, definition in self.scheme.lists.items()]
+            out["$lists"] = [{"type": kind.to_json(), "data": definition.to_json(kind)} for kind, definition in self.scheme.lists.items()]
         return out
 
     def load_json(self, form: str | dict[str, Any]) -> Record:
         for name, value in (json.loads(form) if isinstance(form, str) else form).items():
             if name == "$lists":
                 for entry in value:
-                    definition = self.scheme.lists.get(Type.from_json(entry["type"]))
+                    kind = Type.from_json(entry["type"])
+                    definition = self.scheme.lists.get(kind)
                     if definition is None:
                         raise TypeMismatch(f"no list for type {entry['type']}")
-                    if entry["data"] is not None and hasattr(definition, "values"):
-                        definition.values = {k: [x.encode() if isinstance(x, str) else x for x in v] for k, v in entry["data"].items()}
+                    if entry["data"] is not None:
+                        definition.load_json(entry["data"], kind)
                 continue
             ref = self.scheme.find(name)
             if not isinstance(ref, FieldRef):
@@ -176,36 +80,94 @@ class Record:
 # ---- frames
 
 
-def _decoded(v: Column, path: str, kind: Type) -> Column:
-    """A field of a variant column."""
-    get = lambda t: F.try_variant_get(v, path, t)
-    if kind.name in ("Bool", "Int"):
-        return get("boolean" if kind.name == "Bool" else "bigint")
+def records_frame(spark: SparkSession, scheme: Scheme, records: Iterable[Record]) -> DataFrame:
+    """Records as the rows of a frame with a column for each field, in order; byte strings are binary."""
+    rows = [tuple(_keyed(r.get(f.name), f.type) for f in scheme.fields) for r in records]
+    schema = scheme.to_struct_type(text=False)
+    for f in schema:
+        f.nullable = True
+    return spark.createDataFrame(rows, schema)
+
+
+def _keyed(value: Any, kind: Type) -> Any:
+    """A value with its map keys as texts, as frames have them."""
+    if value is None or kind.item is None:
+        return value
+    if kind.name == "Map":
+        return {k.decode(): _keyed(v, kind.item) for k, v in value.items()}
+    return [_keyed(v, kind.item) for v in value]
+
+
+# What the shapes of scalar items are called.
+_FLAT = {"Bool": "BOOLEAN", "Int": "BIGINT", "Bytes": "STRING"}
+
+
+def _wrong(v: Column, kind: Type) -> Column:
+    return F.raise_error(F.concat(F.lit(f"expected value of type {kind}, but got "), F.to_json(v)))
+
+
+def _bytes_of(numbers: Column) -> Column:
+    """Byte strings from arrays of numbers."""
+    return F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+def _decoded(v: Column, kind: Type, shape: Column | None = None) -> Column:
+    """The value of a variant (of a ``shape``) that is not NULL, or an error if it is of another type."""
+    get = lambda t: F.variant_get(v, "$", t)
+    shape = F.schema_of_variant(v) if shape is None else shape
+    if kind.name == "Bool":
+        return F.when(shape == "BOOLEAN", get("boolean")).otherwise(_wrong(v, kind).cast("boolean"))
+    if kind.name == "Int":
+        return F.when(shape == "BIGINT", get("bigint")).otherwise(_wrong(v, kind).cast("bigint"))
     if kind.name == "Ip":
-        return ip_from_text(get("string"))
+        return F.coalesce(F.when(shape == "STRING", ip_from_text(get("string"))), _wrong(v, kind).cast("binary"))
     if kind.name == "Bytes":
-        numbers = get("array<int>")
-        as_bytes = F.unhex(F.array_join(F.transform(numbers, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
-        return F.coalesce(as_bytes.cast("string"), get("string"))
-    if kind.leaf == IP:
-        raise TypeError("containers of addresses are not read from JSON columns")
-    return get(kind.spark().simpleString())
+        numbers = F.when(shape.isin("ARRAY<BIGINT>", "ARRAY<VOID>"), F.try_variant_get(v, "$", "array<bigint>"))
+        fine = F.forall(numbers, lambda x: x.isNotNull() & x.between(0, 255))
+        return F.when(shape == "STRING", get("string")).when(fine, _bytes_of(numbers).cast("string")).otherwise(_wrong(v, kind))
+    if kind.name == "Array":
+        items = F.transform(get("array<variant>"), lambda x: _decoded(x, kind.item))
+        # Where all items are of the wanted type, one cast decodes them.
+        plain = shape == f"ARRAY<{_FLAT.get(kind.item.name, '')}>"
+        return F.when(plain, get(kind.spark().simpleString())).when(shape.startswith("ARRAY<"), items).otherwise(_wrong(v, kind).cast(kind.spark()))
+    entries = F.transform_values(get("map<string,variant>"), lambda _, x: _decoded(x, kind.item))
+    pair = lambda p: F.struct(_decoded(F.get(p, F.lit(0)), Type("Bytes")).alias("key"), _decoded(F.get(p, F.lit(1)), kind.item).alias("value"))
+    pairs = F.try_variant_get(v, "$", "array<array<variant>>")
+    even = F.forall(pairs, lambda p: p.isNotNull() & (F.size(p) == 2))
+    return F.when(shape.startswith("OBJECT<"), entries).when(even, F.map_from_entries(F.transform(pairs, pair))).otherwise(_wrong(v, kind).cast(kind.spark()))
 
 
 def read_records(df: DataFrame, scheme: Scheme, column: str = "value") -> DataFrame:
-    """A column of JSON records as a frame of the scheme's fields; unknown keys raise an error, absent fields are NULL."""
+    """A column of JSON records as a frame of the scheme's fields, absent fields NULL.
+
+    As with single records, an unknown key and a value of another type (null included) are errors. A map may be an object or an
+    array of [key, value] pairs with distinct keys, a byte string a text or an array of numbers, at any depth.
+    """
     known = [f.name for f in scheme.fields]
     keys = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
     unknown = F.array_except(keys, F.array(*[F.lit(k) for k in [*known, "$lists"]]))
     checked = F.when(F.size(unknown) > 0, F.raise_error(F.concat(F.lit("unknown field: "), unknown[0]))).otherwise(F.parse_json(F.col(column)))
-    parsed = df.select(checked.alias("_record"))
-    return parsed.select(*[_decoded(F.col("_record"), f'$["{f.name}"]', f.type).alias(f.name) for f in scheme.fields])
+    # Made by a generator, a record is parsed once and its values found once, wherever filters on the fields end up.
+    found = lambda r, f: F.variant_get(r, f'$["{f.name}"]', "variant")
+    parts = lambda r: F.struct(*[c.alias(f"{x}{i}") for i, f in enumerate(scheme.fields) for x, c in (("v", found(r, f)), ("s", F.schema_of_variant(found(r, f))))])
+    parsed = df.select(F.inline(F.transform(F.array(checked), parts)))
+    return parsed.select(*[F.when(F.col(f"v{i}").isNotNull(), _decoded(F.col(f"v{i}"), f.type, F.col(f"s{i}"))).alias(f.name) for i, f in enumerate(scheme.fields)])
 
 
 def _ip_text(c: Column) -> Column:
-    octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.conv(F.substring(F.hex(c), i * 2 + 1, F.lit(2)), 16, 10))
-    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lower(F.substring(F.hex(c), i * 4 + 1, F.lit(4))))
-    return F.when(F.octet_length(c) == 4, F.array_join(octets, ".")).otherwise(F.array_join(groups, ":"))
+    """Canonical text: dotted bytes, or groups without leading zeros, the longest (first) run of zero groups cut."""
+    octet = lambda i: F.conv(F.substring(F.hex(c), i * 2 + 1, F.lit(2)), 16, 10)
+    dotted = lambda a, b: F.array_join(F.transform(F.sequence(F.lit(a), F.lit(b)), octet), ".")
+    group = lambda i: F.regexp_replace(F.lower(F.substring(F.hex(c), i * 4 + 1, F.lit(4))), "^0{1,3}", "")
+    groups = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), group), ":")
+    marked = F.concat(F.lit(":"), groups, F.lit(":"))
+    short = F.when(F.lit(False), groups)
+    for n in range(8, 1, -1):
+        run = ":" + "0:" * n
+        at = F.instr(marked, run)
+        short = short.when(at > 0, F.concat(F.substring(marked, F.lit(2), F.greatest(at - 2, F.lit(0))), F.lit("::"), F.substring(groups, at + len(run) - 1, F.length(groups))))
+    mapped = F.hex(c).startswith("0" * 20 + "FFFF")
+    return F.when(F.octet_length(c) == 4, dotted(0, 3)).when(mapped, F.concat(F.lit("::ffff:"), dotted(12, 15))).otherwise(short.otherwise(groups))
 
 
 def _quoted(c: Column) -> Column:
@@ -225,14 +187,20 @@ def _encoded(c: Column, kind: Type) -> Column:
         return F.concat(F.lit('"'), _ip_text(c), F.lit('"'))
     if kind.name == "Bytes":
         return _quoted(c)
+    listed = lambda a, b, parts: F.concat(F.lit(a), F.array_join(parts, ","), F.lit(b))
     if kind.name == "Array":
-        return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: _encoded(x, kind.item)), ","), F.lit("]"))
-    one = lambda k: F.concat(_quoted(k), F.lit(":"), _encoded(F.try_element_at(c, k), kind.item))
-    return F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(c)), one), ","), F.lit("}"))
+        return listed("[", "]", F.transform(c, lambda x: _encoded(x, kind.item)))
+    keys = F.array_sort(F.map_keys(c))
+    entry = lambda a, mid, b: lambda k: F.concat(F.lit(a), _quoted(k), F.lit(mid), _encoded(F.try_element_at(c, k), kind.item), F.lit(b))
+    texts = F.forall(keys, lambda k: F.is_valid_utf8(k.cast("string")))
+    return F.when(texts, listed("{", "}", F.transform(keys, entry("", ":", "")))).otherwise(listed("[", "]", F.transform(keys, entry("[", ",", "]"))))
 
 
 def write_records(frame: Any) -> DataFrame:
-    """A bound frame's fields as a column ``record`` of JSON: only set fields, in the scheme's order, map keys sorted."""
+    """A bound frame's fields as a column ``record`` of JSON: only set fields, in the scheme's order, map keys sorted.
+
+    Maps with a key that is not UTF-8 are arrays of [key, value] pairs.
+    """
     parts = []
     for f in frame.scheme.fields:
         c = frame.values[f.name].column

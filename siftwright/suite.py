@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.builtin import standard
-from .operators.engine import BoundFrame, bind
+from .functions.udf import python_function
+from .operators.engine import BoundFrame, Filter, bind
 from .operators.lists import AlwaysList, NeverList, RuleList, SetList, TableList
+from .plans.nodes import BytesLit
 from .scheme import Scheme, SchemeBuilder
+from .sources.records import read_records, write_records
 from .types import BOOL, BYTES, INT, IP, Array, Map, Type
 
 BASE_IP = 10 << 24
@@ -89,6 +92,7 @@ class Query:
     where: str  # the predicate in DuckDB SQL
     nil_not_equal: bool = True
     lists: Callable[[SparkSession, str], dict] | None = None
+    functions: Callable[[], dict] | None = None
 
 
 @dataclass
@@ -107,6 +111,26 @@ def _sets(spark: SparkSession, sf_dir: str) -> dict:
     return {INT: SetList({"low": range(1, 8), "none": []}), BYTES: SetList({"kinds": [b"click", b"error"]})}
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> dict:
+    """Addresses as texts, in a set and in a table, and byte strings that are no text."""
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.lit("nations").alias("name"), F.concat(F.lit("10.0.0."), "n_nationkey").alias("value"))
+    return {IP: TableList(nations.unionByName(spark.range(1).select(F.lit("nations").alias("name"), F.lit("2001:db8::a00:7").alias("value"))))}
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> dict:
+    return {BYTES: SetList({"mixed": [b"\xff\xfe", b"BUILDING", "MACHINERY"]}), IP: SetList({"hosts": ["10.0.0.7", "192.168.1.1", b"\x0a\x00\x00\xc8", "::1"]})}
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> dict:
+    """A table list of a tenth of the users that grows with the data."""
+    keys = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0")
+    return {INT: TableList(keys.select(F.lit("thirds").alias("name"), F.col("c_custkey").cast("bigint").alias("value")))}
+
+
+def _reversing() -> dict:
+    return {"reversed": python_function([("both", BYTES)], BYTES, lambda b: b if b is None else b.decode()[::-1].encode())}
+
+
 def _even(spark: SparkSession, sf_dir: str) -> dict:
     return {INT: RuleList(lambda name, v: v % 2 == (name != "even"), lambda name, c: c % 2 == (0 if name == "even" else 1))}
 
@@ -218,6 +242,17 @@ FILTERS = {
     "list_unknown_name": Q("ev", "ev.user in $none or ev.user in $other", "false", lists=_sets),
     "list_each": Q("ev", "any(ev.nums[*] in $low)", "true", lists=_sets),
     "list_table_each": Q("ev", "any(ev.few[*] in $vip)", "event_id in (select event_id from (select event_id, unnest([user_id, 7][1:user_id % 3]) as u from events) where u in (select n_nationkey from nation where n_regionkey = 1))", lists=_vip),
+    "list_table_each_many": Q("ev", "any(ev.nums[*] in $thirds)", "event_id in (select event_id from (select event_id, unnest([user_id, nullif(user_id % 3, 0), 7]) as u from events) where u in (select c_custkey from customer where c_custkey % 3 = 0))", lists=_customers),
+    "list_table_all_many": Q("ev", "all(ev.few[*] in $thirds) and ev.user > 5", "user_id > 5 and event_id not in (select event_id from (select event_id, unnest([user_id, 7][1:user_id % 3]) as u from events) where u not in (select c_custkey from customer where c_custkey % 3 = 0))", lists=_customers),
+    "list_missing": Q("ev", "ev.k5 in $thirds xor ev.user in $thirds", "coalesce(k5 in (select c_custkey from customer where c_custkey % 3 = 0), false) <> (user_id in (select c_custkey from customer where c_custkey % 3 = 0))", lists=_customers),
+    "list_ip_set": Q("ev", "ev.ip in $hosts or ev.ip6 in $hosts", "user_id in (7, 200)", lists=_raw),
+    "list_ip_set_each": Q("ev", "any(ev.ips[*] in $hosts)", "user_id in (1, 7, 200)", lists=_raw),
+    "list_ip_table": Q("ev", "ev.ip in $nations or ev.ip6 in $nations", "user_id < 25", lists=_addresses),
+    "list_ip_table_each": Q("ev", "any(ev.ips[*] in $nations)", "user_id < 25 or user_id * 7 < 25", lists=_addresses),
+    "list_bytes_raw": Q("cust", "cust.seg in $mixed and cust.raw in $mixed", "c_mktsegment in ('BUILDING', 'MACHINERY')", lists=_raw),
+    "fn_python": Q("cust", 'reversed(cust.seg) == "GNIDLIUB" or reversed(cust.raw) contains "YRE"', "c_mktsegment in ('BUILDING', 'MACHINERY')", functions=_reversing),
+    "fn_python_each": Q("doc", 'any(reversed(doc.words[*])[*] == "eht")', "list_contains(words, 'the')", functions=_reversing),
+    "fn_regex_replace": Q("cust", 'regex_replace(cust.name, "[^0-9]+0*", "") == "7"', "c_custkey = 7"),
     "list_rule": Q("ev", "ev.user in $odd", "user_id % 2 = 1", lists=_even),
     "list_rule_each": Q("ev", "all(ev.nums[*] in $odd)", "len(list_filter(nums, lambda x: x % 2 = 0)) = 0", lists=_even),
     "list_always": Q("ev", "ev.user in $any", "false", lists=_fixed),
@@ -234,8 +269,8 @@ PROJECTIONS = {
 }
 
 
-def scheme_of(binding: str, nil_not_equal: bool = True, lists: dict | None = None) -> Scheme:
-    builder = SchemeBuilder().add_functions(standard()).set_nil_not_equal_behavior(nil_not_equal)
+def scheme_of(binding: str, nil_not_equal: bool = True, lists: dict | None = None, functions: dict | None = None) -> Scheme:
+    builder = SchemeBuilder().add_functions(standard() | (functions or {})).set_nil_not_equal_behavior(nil_not_equal)
     for name, (kind, _) in BINDINGS[binding].fields.items():
         builder.add_field(name.rstrip("?"), kind, name.endswith("?"))
     for kind, definition in (lists or {}).items():
@@ -243,15 +278,15 @@ def scheme_of(binding: str, nil_not_equal: bool = True, lists: dict | None = Non
     return builder.build()
 
 
-def bound(spark: SparkSession, sf_dir: str, binding: str, nil_not_equal: bool = True, lists: dict | None = None) -> BoundFrame:
+def bound(spark: SparkSession, sf_dir: str, binding: str, nil_not_equal: bool = True, lists: dict | None = None, functions: dict | None = None) -> BoundFrame:
     b = BINDINGS[binding]
     columns = {name.rstrip("?"): column for name, (_, column) in b.fields.items()}
-    return bind(spark.read.parquet(f"{sf_dir}/{b.table}.parquet"), scheme_of(binding, nil_not_equal, lists), columns)
+    return bind(spark.read.parquet(f"{sf_dir}/{b.table}.parquet"), scheme_of(binding, nil_not_equal, lists, functions), columns)
 
 
 def run_filter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     q = FILTERS[name]
-    frame = bound(spark, sf_dir, q.binding, q.nil_not_equal, q.lists(spark, sf_dir) if q.lists else None)
+    frame = bound(spark, sf_dir, q.binding, q.nil_not_equal, q.lists(spark, sf_dir) if q.lists else None, q.functions() if q.functions else None)
     return frame.filter(q.text).select(*BINDINGS[q.binding].keys)
 
 
@@ -286,8 +321,6 @@ ANNOTATE_SQL = "select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_e
 
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as JSON records, read back by the scheme and filtered."""
-    from .sources.records import read_records, write_records
-
     scheme = SchemeBuilder({"key": INT, "seg": BYTES, "rich": BOOL, "tags": Array(BYTES), "scores": Map(INT)}).build()
     rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(
         F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("seg"), (F.col("c_acctbal") > 5000).alias("rich"), F.array("c_name", "c_mktsegment").alias("tags"), F.create_map(F.lit("bal"), F.floor("c_acctbal")).alias("scores")
@@ -301,14 +334,52 @@ def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON_SQL = "select c_custkey as key, c_mktsegment as seg, floor(c_acctbal)::bigint as bal from customer where c_acctbal > 5000 and c_mktsegment = 'BUILDING' and floor(c_acctbal) < 9000"
 
 
+def json_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as JSON records with addresses, byte strings that are no text and maps with such keys, read back and projected."""
+    scheme = SchemeBuilder({"id": INT, "ips": Array(IP), "raw": Array(BYTES), "sums": Map(Array(INT)), "hosts": Map(IP)}).build()
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
+        "event_id as id", f"array({_packed('user_id')}, unhex(concat('20010DB8', repeat('00', 8), lpad(hex(user_id), 8, '0')))) as ips", "array(cast(concat(unhex('FF'), encode(event_type, 'utf-8')) as string), event_type) as raw",
+        "map('a', array(user_id, 1), cast(unhex('FE') as string), array(user_id * 2)) as sums", f"map('h', {_packed('user_id')}) as hosts",
+    )
+    text = write_records(bind(rows, scheme, {"ips": "ips", "hosts": "hosts"})).where("record is not null")
+    frame = bind(read_records(text, scheme, "record"), scheme)
+    kept = frame.filter(r'any(ips[*] in {2001:db8::/127}) or any(raw[*] == "\xffclick") and hosts["h"] < 10.0.0.40 and sums["a"][1] == 1')
+    return kept.select(F.col("id").alias("event_id"), F.hex(F.get("ips", F.lit(0))).alias("ip"), F.hex(F.get("raw", F.lit(0))).alias("raw"), F.aggregate(F.flatten(F.map_values("sums")), F.lit(0).cast("bigint"), lambda a, b: a + b).alias("total"))
+
+
+JSON_NESTED_SQL = f"select event_id, printf('%08X', {BASE_IP} + user_id) as ip, 'FF' || hex(event_type) as raw, (3 * user_id + 1)::bigint as total from events where user_id < 2 or (event_type = 'click' and user_id < 40)"
+ROUTED = {"cheap": "ev.user in $vip", "clicks": 'ev.type == "click"', "few": "any(ev.few[*] in $vip)"}
+
+
+def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filters that each event matches, with a table list among them."""
+    return bound(spark, sf_dir, "ev", lists=_vip(spark, sf_dir)).route(ROUTED).select("event_id", F.array_join("routes", ",").alias("routes"))
+
+
+_VIP_SQL = "(select n_nationkey from nation where n_regionkey = 1)"
+ROUTED_SQL = f"""select event_id, concat_ws(',', case when user_id in {_VIP_SQL} then 'cheap' end, case when event_type = 'click' then 'clicks' end,
+    case when (user_id % 3 > 0 and user_id in {_VIP_SQL}) or (user_id % 3 > 1 and 7 in {_VIP_SQL}) then 'few' end) as routes from events"""
+
+
+def contains_one_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree made by hand: the node that no text stands for."""
+    frame = bound(spark, sf_dir, "part")
+    node = frame.scheme.parse('part.type contains "x"')
+    tree = replace(node, op="ContainsOneOf", right=(BytesLit(b"TIN"), BytesLit(b"STEEL")))
+    return frame.filter(Filter(frame.scheme, tree)).select("p_partkey")
+
+
+ONE_OF_SQL = "select p_partkey from part where contains(p_type, 'TIN') or contains(p_type, 'STEEL')"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
     for name in FILTERS:
         out[name] = lambda spark, sf_dir, name=name: run_filter(spark, sf_dir, name)
     for name in PROJECTIONS:
         out[name] = lambda spark, sf_dir, name=name: run_projection(spark, sf_dir, name)
-    return out | {"annotate": annotate, "json_records": json_records}
+    return out | {f.__name__: f for f in (annotate, json_records, json_nested, routed, contains_one_of)}
 
 
 def oracles() -> dict[str, str]:
-    return {n: filter_sql(n) for n in FILTERS} | {n: projection_sql(n) for n in PROJECTIONS} | {"annotate": ANNOTATE_SQL, "json_records": JSON_SQL}
+    return {n: filter_sql(n) for n in FILTERS} | {n: projection_sql(n) for n in PROJECTIONS} | {"annotate": ANNOTATE_SQL, "json_records": JSON_SQL, "json_nested": JSON_NESTED_SQL, "routed": ROUTED_SQL, "contains_one_of": ONE_OF_SQL}

@@ -1,13 +1,15 @@
-"""One record at a time in plain Python: the single-record API, and an oracle for the Spark lowering."""
+"""One record at a time in plain Python: what the Spark lowering is held against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from ..functions.base import is_literal, literal_value
-from . import regexes
-from .nodes import Access, At, Call, Compare, Each, FieldRef, Group, Key, Logic, Not, Quantifier
+from siftwright.errors import MissingField
+from siftwright.functions.base import is_literal, literal_value
+from siftwright.plans import regexes
+from siftwright.plans.nodes import Access, At, Call, Compare, Each, FieldRef, Group, Key, Logic, Not, Quantifier
+from siftwright.sources.records import Record
 
 ASCII_FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 ORDER: dict[str, Callable[[Any, Any], bool]] = {
@@ -162,3 +164,19 @@ class Interpreter:
         if node.left.each:
             return [self.leaf(node, x) for x in self.container(node.left) or []]
         return self.value(node.left) or []
+
+
+class LocalRecord(Record):
+    """A record that answers filters itself."""
+
+    def _fetch(self, ref: FieldRef) -> Any:
+        value = self._values.get(ref.name)
+        if value is None and not ref.optional:
+            raise MissingField(f"mandatory field {ref.name} has no value")
+        return value
+
+    def matches(self, filter_: Any) -> bool:
+        return Interpreter(self.scheme, self._fetch).truth(filter_.node)
+
+    def value(self, filter_: Any) -> Any:
+        return Interpreter(self.scheme, self._fetch).value(filter_.node)
