@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Most bytes of text that vectorised code takes up at once (a single longer text is taken alone).
 SLICE_BYTES = 1 << 21
@@ -20,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or a fresh local one where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (one machine, as in
+    tests) gets a fresh one, and a cluster an error, as its executors do not see each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siftwright-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -89,10 +93,27 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield last, pa.Table.from_batches(held)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
+def named(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the columns that Spark finds under these names (``Text`` for text, say) renamed to them exactly."""
+    for name in names:
+        df = df.withColumnRenamed(name, name)
+    return df
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` less the columns of these names in any case: those of a result take their place."""
+    return df.drop(*[c for c in df.columns if c.lower() in names])
+
+
+def widened(df: DataFrame, more: str) -> StructType:
+    """The schema of ``df`` and the columns of the schema ``more`` behind them."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 #: Bits of a sieve; its rows (64 bits each) are what a sieve broadcasts, at most.
 SIEVE_BITS = 1 << 23
 

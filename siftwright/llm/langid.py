@@ -5,12 +5,13 @@ their number. The family is voted by one-versus-one linear support vector machin
 between the languages of the chosen family only, so closely related languages are separated by machines that have
 seen nothing but them. Margins become probabilities by a logistic fit; the score is the product of both steps' support.
 
-Learning takes at most SAMPLE documents of each language, chosen by a hash of their ids among the rows that are not held out
-and have a language, and of each at most SAMPLE_CHARS characters from a hashed place. Predictions use whole texts, and only
-texts.
+Learning takes at most SAMPLE distinct texts, in equal parts of the (at most LANGS) most frequent languages, chosen by a hash of
+id and text among the rows that are not held out and have a language. Their features are made of the whole texts, in Spark; the
+driver gets these, FEATURES numbers a text, and fits the machines. Predictions use whole texts, and only texts.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if nothing was learned. A
-language outside the table of families is a family of its own. Each row gives one row.
+language outside the table of families is a family of its own. Rows that repeat an id, text and language are one in
+learning. Each row gives one row.
 """
 
 from __future__ import annotations
@@ -22,14 +23,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, held_out, slices
+from ._common import arrow_map, dropped, held_out, slices, written
 from ._words import words
 
 FEATURES, ORDERS = 4096, (2, 3, 4)
-SAMPLE, SAMPLE_CHARS = 1000, 6000
+#: Most texts that are learned from, and most languages.
+SAMPLE, LANGS = 4000, 64
 UNKNOWN = "und"
 # Language codes by family.
 FAMILIES = {
@@ -140,10 +142,10 @@ def _vote(classes: dict[str, np.ndarray], scale: np.ndarray) -> Vote:
     return Vote(names, np.array([f[0] for f in found], np.float32).reshape(-1, FEATURES).T, np.array([f[1] for f in found]), np.array([f[2] for f in found]))
 
 
-def fit(texts: list[str], langs: list[str]) -> Model:
-    if not texts:
+def fit(x: np.ndarray, langs: list[str]) -> Model:
+    """A model of rows of n-gram shares and their languages."""
+    if not len(x):
         return Model()
-    x = np.concatenate([counts(pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)])
     scale = (1 / np.sqrt(x.var(axis=0) + 1e-9)).astype(np.float32) / np.sqrt(FEATURES, dtype=np.float32)
     by_lang = {g: x[np.array([y == g for y in langs])] for g in sorted(set(langs))}
     families: dict[str, dict[str, np.ndarray]] = defaultdict(dict)
@@ -152,19 +154,30 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     return Model(_vote({f: np.concatenate(list(m.values())) for f, m in families.items()}, scale), {f: _vote(m, scale) for f, m in families.items()})
 
 
-def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the documents that have a language and are not held out."""
-    marked = docs.where("doc_id is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in marked.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(v) for g, n in sizes.items() for v in (g, 1_300_000.0 * sample / n)]) if sizes else F.lit(None)
-    text = F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    rows = marked.where("text is not null").where(order < share[F.col("lang")]).select("doc_id", "lang", order.alias("order"), text.alias("text")).collect() if sizes else []
-    chosen: dict[str, list] = defaultdict(list)
-    for r in sorted(rows, key=lambda r: (r["order"], r["doc_id"], r["text"])):
-        if len(chosen[r["lang"]]) < sample:
-            chosen[r["lang"]].append(r["text"])
-    return fit([t for g in sorted(chosen) for t in chosen[g]], [g for g in sorted(chosen) for _ in chosen[g]])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shares as half-precision numbers, in bytes."""
+    for batch in batches:
+        for start, end in slices(batch.column("text")):
+            part = batch.slice(start, end - start)
+            found = [counts(part.column("text").slice(i, 200)) for i in range(0, part.num_rows, 200)]
+            data = [(row * 256).astype(np.float16).tobytes() for rows in found for row in rows]
+            yield pa.RecordBatch.from_arrays([part.column("order"), part.column("lang"), pa.array(data, pa.binary())], ["order", "lang", "shares"])
+
+
+def train(docs: DataFrame, sample: int = SAMPLE, most_langs: int = LANGS) -> Model:
+    """A model of the documents (doc_id, text, lang) that have a language and are not held out."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "lang", F.xxhash64("text").alias("print"), "text").where("id is not null and lang is not null and text is not null")
+    known = written(texts.select("id", "lang", "print").where(~held_out(F.col("id"))).distinct(), "labelled")
+    langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
+    if not langs:
+        return Model()
+    few = known.where(F.col("lang").isin(langs)).withColumn("order", F.xxhash64("id", "print"))
+    few = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("place") <= max(1, sample // len(langs))).drop("place")
+    rows = texts.join(F.broadcast(few), ["id", "lang", "print"]).groupBy("id", "lang", "print", "order").agg(F.max("text").alias("text"))
+    found = arrow_map(rows.select("order", "lang", "text"), _counted, "order long, lang string, shares binary").collect()
+    found = sorted((tuple(r) for r in found), key=lambda r: r[:2])
+    dropped(docs.sparkSession, known)
+    return fit(np.array([np.frombuffer(r[2], np.float16) for r in found]).astype(np.float32) / 256, [r[1] for r in found])
 
 
 def _has_letter(text: str | None) -> bool:

@@ -15,7 +15,7 @@ Models must use the identity normalisation; other settings raise an error. The p
 the tasks (at most MAX_PIECES pieces).
 
 Defined results: null texts have null ids, empty texts none. A word mark in a text decodes to a space, as the model's own
-library does. Each row gives one row.
+library does. Each row gives one row; an input column of a result's name is replaced.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import arrow_map, slices
+from ._common import arrow_map, named, slices, widened, without
 
 MARK = "▁"
 MAX_PIECES, KEPT_WORDS, FOLDED_WORDS = 1_000_000, 400_000, 20_000
@@ -306,8 +306,8 @@ def _encoded(table: PieceTable, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def with_tokens(docs: DataFrame, table: PieceTable) -> DataFrame:
     """``docs`` (a text column and others) with ``token_ids``, ``n_tokens`` and ``restored``: whether decoding gives the text."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, lambda b: _encoded(table, b), f"{schema}, token_ids array<int>, n_tokens long, restored boolean")
+    docs = without(named(docs, "text"), "token_ids", "n_tokens", "restored")
+    return arrow_map(docs, lambda b: _encoded(table, b), widened(docs, "token_ids array<int>, n_tokens long, restored boolean"))
 
 
 def _decoded(table: PieceTable, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,8 +319,8 @@ def _decoded(table: PieceTable, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def decoded(rows: DataFrame, table: PieceTable) -> DataFrame:
     """``rows`` with ``text`` in place of ``token_ids``."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "token_ids")
-    return arrow_map(rows, lambda b: _decoded(table, b), f"{schema}, text string")
+    rows = without(named(rows, "token_ids"), "text")
+    return arrow_map(rows, lambda b: _decoded(table, b), widened(rows.drop("token_ids"), "text string"))
 
 
 def default_model() -> str:

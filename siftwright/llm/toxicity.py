@@ -8,15 +8,18 @@ has seen turns these into a probability.
 Invented and ordinary words alike fill a dictionary that is trained on whole documents, so their chance matches drown the few
 telling ones. Training text is therefore contrasted first: of each class's documents, only the words whose document
 frequency differs from the other class's significantly (by a log-likelihood ratio) are training samples. Both
-dictionaries then end in the same common part, trained on ordinary windows, so a window without telling words compresses
-to the same length with either.
-
-Learning takes at most SAMPLE documents of each class, chosen by a hash of their ids among the labelled rows that are not held
-out, and of each at most SAMPLE_CHARS characters from a hashed place; nothing else is bounded. Scores use whole texts, and only
-texts.
-
-Defined results: null and empty texts have one empty window. Without labelled rows of both classes all scores are the
-share of toxic labels (0 without any). Each row gives one row.
+dictionaries begin with the same common part, trained on ordinary windows, and their own parts have one size, so a window
+without telling words compresses to the same length with either.
+
+Learning takes at most SAMPLE labelled texts of each class, chosen by a hash of id and text among the distinct ones that are not
+held out; of each class two in three for the dictionaries, the third for calibration. All that is learned is made of whole texts
+in Spark: the words' document frequencies, the ordinary windows that the common part is trained on (COMMON_WINDOWS, a
+hashed sample) and the calibration documents' features. The driver gets the words that fill a dictionary, these windows and these
+features, never texts. Scores use whole texts, and only texts.
+
+Defined results: null and empty texts have one empty window. Without three labelled texts of both classes all scores are the
+share of toxic labels (0 without any). A text with both labels counts for both; rows that repeat an id and text are one
+in learning. Each row gives one row; an input column of a result's name is replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +35,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, held_out
+from ._common import arrow_map, dropped, held_out, named, widened, without, written
 
-WINDOW, LEVEL = 8, 3
+WINDOW = 8
+#: A binary tree over the whole dictionary: with the hash tables of low levels, later content hides earlier matches.
+SEARCH = dict(window_log=17, chain_log=18, hash_log=18, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
 #: Least log-likelihood ratios of telling words that are tried; the calibration documents choose between them.
-CONTRASTS = (20.0, 45.0, 70.0)
-SAMPLE, SAMPLE_CHARS = 3000, 20000
-TELLING_BYTES, LISTED_BYTES, COMMON_BYTES, COMMON_WINDOWS = 24 << 10, 8 << 10, 64 << 10, 60000
+CONTRASTS = (20.0, 32.0, 45.0, 70.0)
+#: Most labelled texts of each class that are learned from.
+SAMPLE = 3000
+#: Sizes of the dictionaries' parts: trained telling words, listed telling words, the common part and its training windows.
+TELLING_BYTES, LISTED_BYTES, COMMON_BYTES, COMMON_WINDOWS = 4 << 10, 2 << 10, 64 << 10, 60000
+#: Behind all: the last bytes of a dictionary are not found in it.
+FILL = b" " * 64
 LIMITS = (3, 6)
 
 
 def windows(text: str | None) -> list[bytes]:
     words = (text or "").lower().split()
-    return [" ".join(words[i : i + WINDOW]).encode() for i in range(0, len(words), WINDOW)] or [b""]
-
-
-def _ratio(x: int, y: int, n: int, m: int) -> float:
-    """Log-likelihood ratio of x in n against y in m, where the first share is larger."""
-    if x * m <= y * n:
-        return 0.0
-    part = lambda k, total, p: k * math.log(k / total / p) if k else 0.0
-    p = (x + y) / (n + m)
-    return 2 * (part(x, n, p) + part(n - x, n, 1 - p) + part(y, m, p) + part(m - y, m, 1 - p))
+    return [f" {' '.join(words[i : i + WINDOW])} ".encode() for i in range(0, len(words), WINDOW)] or [b"  "]
 
 
 def _trained(samples: list[bytes], size: int) -> bytes:
@@ -65,14 +65,12 @@ def _trained(samples: list[bytes], size: int) -> bytes:
     return data[-size:].rjust(size, b"\0")
 
 
-def _telling(samples: list[bytes]) -> bytes:
-    """A class's own part: a trained dictionary, and behind it the samples themselves, the most frequent last.
-
-    The trainer keeps long segments and loses short words.
-    """
-    counts = Counter(samples)
-    listed = b"".join(sorted(counts, key=lambda w: (counts[w], w)))[-LISTED_BYTES:]
-    return _trained(samples, TELLING_BYTES - len(listed)) + listed
+def _telling(uses: dict[bytes, int]) -> bytes:
+    """A class's own part: a dictionary trained on its telling words as often as they are used, and behind it the words
+    themselves, the most frequent last. The trainer keeps long segments and loses short words."""
+    listed = b"".join(sorted(uses, key=lambda w: (uses[w], w)))[-LISTED_BYTES:]
+    most = 100 * TELLING_BYTES // max(1, sum(len(w) for w in uses))  # the trainer wants some hundred times the size at most
+    return _trained([w for w in sorted(uses) for _ in range(min(uses[w], max(8, most)))], TELLING_BYTES + LISTED_BYTES - len(listed)) + listed
 
 
 @dataclass
@@ -90,8 +88,9 @@ class Model:
         out = []
         for content in (self.ordinary, self.toxic):
             d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
+            how = zstandard.ZstdCompressionParameters(**SEARCH)
+            d.precompute_compress(compression_params=how)
+            out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
         return tuple(out)
 
     def features(self, text: str | None, codecs) -> list[float]:
@@ -117,52 +116,109 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str], labels: list[int]) -> Model:
-    """A model of labelled texts in a fixed order: of each class two in three for the dictionaries, the third for calibration."""
-    base = float(np.mean(labels)) if labels else 0.0
-    classes = [[t for t, y in zip(texts, labels) if y == c] for c in (0, 1)]
-    if min(map(len, classes)) < 3:
-        return Model(base)
-    learn = [[t for i, t in enumerate(c) if i % 3] for c in classes]
-    counts = [Counter(w for t in c for w in set(t.lower().split())) for c in learn]
-    spread = [w for t in learn[0] for w in windows(t)]
-    common = _trained(spread[:: max(1, len(spread) // COMMON_WINDOWS)], COMMON_BYTES)
-    calibrate = [t for c in classes for t in c[::3]]
-    y = np.concatenate([np.full(len(c[::3]), float(i)) for i, c in enumerate(classes)])
-    ratios = [{w: _ratio(x, counts[1 - c].get(w, 0), len(learn[c]), len(learn[1 - c])) for w, x in counts[c].items() if x >= 3} for c in (0, 1)]
-    best: tuple[float, Model] | None = None
-    for least in CONTRASTS:
-        parts = [_telling([f" {w} ".encode() for t in learn[c] for w in t.lower().split() if ratios[c].get(w, 0) >= least]) for c in (0, 1)]
-        model = Model(base, parts[1] + common, parts[0] + common)
-        codecs = model.codecs()
-        x = np.array([model.features(t, codecs) for t in calibrate])
-        model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        model.weights = _logistic((x - model.mean) / model.scale, y)
-        p = np.clip(model.scores(x), 1e-9, 1 - 1e-9)
-        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
-        if best is None or loss < best[0]:
-            best = loss, model
-    return best[1]
+def _word_uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, toxic, docs, uses``: in how many texts a word is, and how often."""
+    for batch in batches:
+        docs, uses = Counter(), Counter()
+        for text, toxic in zip(batch.column("text"), batch.column("toxic").to_pylist()):
+            found = Counter(text.as_py().lower().split())
+            docs.update((w, toxic) for w in found)
+            uses.update({(w, toxic): n for w, n in found.items()})
+            if len(uses) > 200_000:
+                yield _counted(docs, uses)
+                docs, uses = Counter(), Counter()
+        yield _counted(docs, uses)
+
+
+def _counted(docs: Counter, uses: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in docs], pa.string()), pa.array([c for _, c in docs], pa.int32()), pa.array(list(docs.values()), pa.int64()), pa.array([uses[x] for x in docs], pa.int64())], ["word", "toxic", "docs", "uses"])
+
+
+def _some_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for order, text in zip(batch.column("order").to_pylist(), batch.column("text")):
+            found = windows(text.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([w[-COMMON_BYTES:] for w in found], pa.binary()), pa.array([order] * len(found), pa.int64()), pa.array(range(len(found)), pa.int64())], ["window", "doc", "place"])
+
+
+def _featured(models: list[Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codecs = [m.codecs() for m in models]
+    for batch in batches:
+        found = [[x for m, c in zip(models, codecs) for x in m.features(t.as_py(), c)] for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("order"), batch.column("toxic"), pa.array(found, pa.list_(pa.float64()))], ["order", "toxic", "features"])
+
+
+def _chosen(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[DataFrame, dict[int, int]]:
+    """``text, toxic, order`` of the sample as a written table, and how many distinct labelled texts each class has."""
+    marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")).where("id is not null and toxic in (0, 1)").where(~held_out(F.col("id"))).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), "text").where("id is not null and text is not null")
+    known = texts.select("id", "print").distinct().join(marked, "id").withColumn("order", F.xxhash64("id", "print"))
+    known = written(known, "labelled")
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    few = [known.where(F.col("toxic") == c).orderBy("order", "id").limit(sample) for c in (0, 1)]
+    rows = texts.join(F.broadcast(few[0].union(few[1])), ["id", "print"])
+    rows = written(rows.groupBy("id", "print", "toxic", "order").agg(F.max("text").alias("text")), "sample")
+    dropped(docs.sparkSession, known)
+    return rows.withColumn("learn", F.pmod("order", F.lit(3)) > 0), counts
+
+
+def _ratios(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """``word, toxic, ratio, uses``: words more frequent in one class's documents, by a log-likelihood ratio."""
+    counted = arrow_map(rows.select("text", "toxic"), _word_uses, "word string, toxic int, docs long, uses long")
+    both = counted.groupBy("word").agg(*[F.coalesce(F.sum(F.when(F.col("toxic") == c, F.col(x))), F.lit(0)).alias(f"{x}{c}") for c in (0, 1) for x in ("docs", "uses")])
+    part = lambda k, total, p: F.when(k > 0, k * F.log(k / total / p)).otherwise(0.0)
+    x, y, p = F.col("docs0"), F.col("docs1"), (F.col("docs0") + F.col("docs1")) / (n[0] + n[1])
+    ratio = 2 * (part(x, n[0], p) + part(n[0] - x, n[0], 1 - p) + part(y, n[1], p) + part(n[1] - y, n[1], 1 - p))
+    more = (y * n[0] > x * n[1]).cast("int")
+    found = both.select("word", more.alias("toxic"), ratio.alias("ratio"), F.when(more == 1, F.col("uses1")).otherwise(F.col("uses0")).alias("uses"), F.when(more == 1, y).otherwise(x).alias("docs"))
+    return found.where((F.col("docs") >= 3) & (F.col("ratio") >= CONTRASTS[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model of the labelled documents that are not held out."""
-    marked = labels.select("doc_id", "toxic").where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
-    order = F.xxhash64("doc_id")
-    chosen = [marked.where(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    counts = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    text = F.substring("text", F.pmod(order, F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1, F.lit(SAMPLE_CHARS))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen[0].union(chosen[1])), "doc_id").select("doc_id", text.alias("text"), "toxic").collect()
-    rows = sorted(rows, key=lambda r: (r["toxic"], r["doc_id"], r["text"]))
-    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    """A model of the labelled documents (doc_id, text; doc_id, toxic) that are not held out."""
+    rows, counts = _chosen(docs, labels, sample)
     total = sum(counts.values())
-    model.base = counts.get(1, 0) / total if total else 0.0
-    if model.weights is not None:  # a class beyond the sample's bound is rarer there than among the labels
-        taken = [sum(r["toxic"] == c for r in rows) for c in (0, 1)]
+    model = Model(counts.get(1, 0) / total if total else 0.0)
+    sizes = {(r["toxic"], r["learn"]): r["n"] for r in rows.groupBy("toxic", "learn").agg(F.count("*").alias("n")).collect()}
+    if all(sizes.get((c, learn), 0) for c in (0, 1) for learn in (True, False)) and min(counts.values()) >= 3:
+        taken = {c: sizes[c, True] + sizes[c, False] for c in (0, 1)}
+        model = _fitted(model, rows, {c: sizes[c, True] for c in (0, 1)}, taken)
+        # A class beyond the sample's bound is rarer there than among the labels.
         model.weights[-1] += math.log(counts[1] / taken[1]) - math.log(counts[0] / taken[0])
+    dropped(docs.sparkSession, rows)
     return model
 
 
+def _fitted(model: Model, rows: DataFrame, learned: dict[int, int], taken: dict[int, int]) -> Model:
+    def own_parts(some: DataFrame, sizes: dict[int, int]) -> list[list[bytes]]:
+        """For each contrast the own parts of both classes."""
+        ratios = _ratios(some, sizes)
+        # No more words than a dictionary has bytes can be of use.
+        telling = [ratios.where(F.col("toxic") == c).orderBy(F.desc("ratio"), "word").limit(TELLING_BYTES).collect() for c in (0, 1)]
+        return [[_telling({f" {r['word']} ".encode()[-TELLING_BYTES:]: r["uses"] for r in found if r["ratio"] >= least}) for found in telling] for least in CONTRASTS]
+
+    spread = arrow_map(rows.where("learn and toxic = 0").select("order", "text"), _some_windows, "window binary, doc long, place long")
+    spread = spread.orderBy(F.xxhash64("doc", "place"), "doc", "place").limit(COMMON_WINDOWS).collect()
+    common = _trained([bytes(r["window"]) for r in sorted(spread, key=lambda r: (r["doc"], r["place"]))], COMMON_BYTES)
+    join = lambda parts: Model(model.base, common + parts[1] + FILL, common + parts[0] + FILL)
+    models = [join(parts) for parts in own_parts(rows.where("learn"), learned)]
+    found = arrow_map(rows.where("not learn").select("order", "toxic", "text").repartition(rows.sparkSession.sparkContext.defaultParallelism), lambda b: _featured(models, b), "order long, toxic int, features array<double>")
+    found = sorted(tuple(r) for r in found.collect())
+    y, x = np.array([r[1] for r in found], np.float64), np.array([r[2] for r in found])
+    best: tuple[float, int] | None = None
+    for i, (m, features) in enumerate(zip(models, np.split(x, len(models), axis=1))):
+        m.mean, m.scale = features.mean(axis=0), features.std(axis=0) + 1e-9
+        m.weights = _logistic((features - m.mean) / m.scale, y)
+        p = np.clip(m.scores(features), 1e-9, 1 - 1e-9)
+        loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+        if best is None or loss < best[0]:
+            best = loss, i
+    # The own parts of the chosen contrast are then made of all texts of the sample, with the weights as they are.
+    chosen = models[best[1]]
+    whole = join(own_parts(rows, taken)[best[1]])
+    return replace(chosen, toxic=whole.toxic, ordinary=whole.ordinary)
+
+
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codecs = model.codecs() if model.weights is not None else None
     for batch in batches:
@@ -176,8 +232,8 @@ def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
 
 def with_scores(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (with a text column, other columns as they are) and ``__sw_score``, the probability of label 1."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(docs, lambda b: _scored(model, b), f"{schema}, __sw_score double")
+    docs = without(named(docs, "text"), "__sw_score")
+    return arrow_map(docs, lambda b: _scored(model, b), widened(docs, "__sw_score double"))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

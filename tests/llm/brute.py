@@ -1,7 +1,11 @@
 """Plain Python versions of what the operators compute."""
 
+import math
 import re
 from collections import Counter
+from itertools import combinations
+
+import zstandard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -88,3 +92,58 @@ def contaminated(text, items, k, percent):
         if v and any(100 * weighted(w[max(0, s) : s + n], v, k) >= percent for s in range(-n + 1, len(w)) if w[max(0, s) : s + n]):
             out.append(item_id)
     return sorted(out)
+
+
+def toxic_score(text, model):
+    """A toxicity model's score: how many bytes each window of 8 words saves with one dictionary over the other."""
+    if model.weights is None:
+        return model.base
+    packed = []
+    for content in (model.ordinary, model.toxic):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        codec = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=17, chain_log=18, hash_log=18, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False), dict_data=d)
+        w = (text or "").lower().split()
+        packed.append([len(codec.compress((" " + " ".join(w[i : i + 8]) + " ").encode())) for i in range(0, max(1, len(w)), 8)])
+    saved = sorted((a - b for a, b in zip(*packed)), reverse=True)
+    n, over = len(saved), lambda x: sum(s >= x for s in saved)
+    x = [saved[0], saved[1] if n > 1 else 0, min(saved[0], 4), sum(saved) / n, over(3) / n, over(6) / n, math.sqrt(over(3)), math.sqrt(over(6)), math.log1p(n)]
+    z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
+    return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*z, 1], model.weights))))
+
+
+def grams(text):
+    """Hashed 2-, 3- and 4-grams of the bytes of words, a word's ends counting as a byte 0."""
+    raw = [b + 32 if 65 <= b <= 90 else b for b in text.encode()]
+    raw = [0 if b == 32 or 9 <= b <= 13 else b for b in raw]
+    out = Counter()
+    for k in (2, 3, 4):
+        for i in range(len(raw) - k + 1):
+            if all(raw[i + 1 : i + k - 1]):
+                h = 0
+                for b in raw[i : i + k]:
+                    h = (h * 0x01000193 + b) & 0xFFFFFFFF
+                out[((h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF) >> 20] += 1
+    return out
+
+
+def vote(v, x):
+    if len(v.classes) == 1:
+        return v.classes[0], 1.0
+    support = Counter()
+    for p, (a, b) in enumerate(combinations(v.classes, 2)):
+        s = 1 / (1 + math.exp(-min(30, max(-30, v.slope[p] * (v.bias[p] + sum(n * float(v.weights[g, p]) for g, n in x.items()))))))
+        support[a] += s
+        support[b] += 1 - s
+    best = max(v.classes, key=lambda c: support[c])
+    return best, support[best] / (len(v.classes) - 1)
+
+
+def language(text, model):
+    """A language model's choice and score for one text."""
+    if not text or not any(map(str.isalpha, text)) or model.families is None:
+        return "und", 0.0
+    found = grams(text)
+    x = {g: n / sum(found.values()) for g, n in found.items()}
+    family, support = vote(model.families, x)
+    lang, near = vote(model.languages[family], x)
+    return lang, support * near

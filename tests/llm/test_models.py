@@ -6,9 +6,10 @@ from itertools import product
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
-from brute import contaminated, cut, near_groups, repeated
+from brute import contaminated, cut, language, near_groups, repeated, toxic_score
 from conftest import DATA
 
 import corpus_pipeline
@@ -50,7 +51,8 @@ def test_toxicity_on_held_out_documents(spark):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in got.items())
     held = [(got[d].score, got[d].predicted, y) for d, y in labels.items() if got[d].held_out]
     hit = sum(p and y for _, p, y in held)
-    assert hit / sum(p for _, p, _ in held) > 0.8 and hit / sum(y for *_, y in held) > 0.6
+    # One in eight of the toxic labels here is on a text without a telling word, so 0.87 is the most that any rule could reach.
+    assert hit / sum(p for _, p, _ in held) > 0.75 and hit / sum(y for *_, y in held) > 0.75
     order = np.argsort(np.argsort([s for s, *_ in held]))
     y = np.array([y for *_, y in held])
     assert (order[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum())) > 0.9
@@ -65,17 +67,59 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), toxicity.Model(0.5)).count() == 0
     r = random.Random(0)
     word = lambda: f"w{r.randrange(300)}"
-    texts = [" ".join([word() for _ in range(60)] + (["despicable contemptible", word(), "despicable"] if i % 4 == 0 else [])) for i in range(400)]
-    model = toxicity.fit(texts, [int(i % 4 == 0) for i in range(400)])
+    texts = [" ".join([word() for _ in range(60)] + (["despicable contemptible", word(), "despicable"] if i % 4 == 0 else [])) for i in range(500)]
+    model = toxicity.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(500)], "doc_id long, toxic int"))
     codecs = model.codecs()
     score = lambda t: model.scores(np.array([model.features(t, codecs)]))[0]
     clean = " ".join(word() for _ in range(90))
     assert score(clean + " despicable contemptible " + word() + " despicable") > 0.5 > score(clean) and score("") < 0.5 and score(None) < 0.5
 
 
+def test_toxicity_scores_are_those_of_a_plain_loop(spark):
+    sf = f"{DATA}/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    for d, t in duck("sf0.001").execute("select doc_id, text from documents").fetchall():
+        assert abs(got[d] - toxic_score(t, model)) < 1e-9
+
+
+def test_learning_is_bounded_by_distinct_texts(spark, monkeypatch):
+    """One id over and over, with one text and with many, both labels, and very many language names."""
+    rows = spark.range(60000).selectExpr("11L as doc_id", "concat('bad word ', id % 3) as text", "concat('l', id % 500) as lang").union(spark.range(400).selectExpr("id + 100", "concat('some text ', id)", "'en'"))
+    labels = spark.range(400).selectExpr("id + 100 as doc_id", "cast(id % 2 as int) as toxic").union(spark.sql("select * from values (11L, 0), (11L, 1)"))
+    sample, counts = toxicity._chosen(rows, labels, 50)
+    assert sample.groupBy("toxic").count().count() == 2 and sample.count() == 100 and sum(counts.values()) == 2 * 3 + sum(zlib.crc32(str(i + 100).encode()) % 5 != 0 for i in range(400))
+    assert len(toxicity.score(rows.limit(5), toxicity.train(rows, labels, 50)).collect()) == 5
+    seen = []
+    monkeypatch.setattr(langid, "fit", lambda x, langs: seen.append((x.shape, langs)))
+    langid.train(rows, 100, 8)
+    assert seen[0][0][0] <= 100 and len(set(seen[0][1])) == 8 and "en" in seen[0][1]
+
+
+def test_clashing_columns(spark, table):
+    """Columns of the operators' own names, in any case, and struct fields with odd names."""
+    df = spark.sql("select 1L as DOC_ID, 'a word' as Text, 2 as __sw_score, 3 as token_ids, 4 as N_TOKENS, 5 as restored, named_struct('a b', 1) as s")
+    out = toxicity.with_scores(df, toxicity.Model(0.25)).first()
+    assert out["__sw_score"] == 0.25 and out["s"]["a b"] == 1 and out["DOC_ID"] == 1
+    tokens = pieces.with_tokens(df, table)
+    assert tokens.first()["restored"] is True and sorted(tokens.columns) == sorted(["DOC_ID", "text", "__sw_score", "s", "token_ids", "n_tokens", "restored"])
+    assert pieces.decoded(tokens, table).first()["text"] == "a word"
+
+
 # ---- languages
 
 
+def test_languages_are_those_of_a_plain_loop(spark):
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in langid.identify(docs, model).collect():
+        lang, score = language(texts[r.doc_id], model)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-4
+
+
 def test_languages_on_held_out_documents(spark):
     got = {r.doc_id: r for r in queries.op6_langid(spark, f"{DATA}/sf0.01").collect()}
     wanted = dict(duck("sf0.01").execute("select doc_id, lang from documents").fetchall())
@@ -90,7 +134,7 @@ def test_language_edges(spark):
     assert [some[i].lang_pred for i in (1, 2, 3)] == ["und"] * 3 and some[1].score == 0 and some[4].lang_pred in ("en", "xx")
     assert {r.lang_pred for r in langid.identify(docs, langid.train(docs.limit(0))).collect()} == {"und"}
     assert langid.identify(docs.limit(0), langid.Model()).count() == 0
-    one = langid.fit(["le la les", "des une"], ["fr", "fr"])
+    one = langid.fit(langid.counts(pa.array(["le la les", "des une"])), ["fr", "fr"])
     assert [r.lang_pred for r in langid.identify(docs, one).where("doc_id = 4").collect()] == ["fr"]
 
 
