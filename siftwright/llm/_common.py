@@ -93,6 +93,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield last, pa.Table.from_batches(held)
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Pieces of batches with equal ``keys``; of a group that spans batches, one piece of each, so nothing is held."""
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in keys]
+        rows = list(zip(*columns))
+        at = 0
+        for i in range(1, len(rows) + 1):
+            if i == len(rows) or rows[i] != rows[at]:
+                yield rows[at], batch.slice(at, i - at)
+                at = i
+
+
 def arrow_map(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
@@ -118,14 +130,19 @@ def widened(df: DataFrame, more: str) -> StructType:
 SIEVE_BITS = 1 << 23
 
 
-def sifted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
-    """``rows`` less most of those whose ``name`` is not in ``keys``: a cheap step before a join that shuffles ``rows``.
+def marked(rows: DataFrame, keys: DataFrame, names: list[str], flag: str) -> DataFrame:
+    """``rows`` with a boolean ``flag``: true for all whose ``names`` are in ``keys``, and for few others. Moves no row.
 
-    The keys are hashed into a bitmap of fixed size, SIEVE_BITS / 64 rows of a long, which is broadcast. A row stays if its
-    bit is set, so all with a key stay; when there are many more keys than bits, all rows stay.
+    The keys are hashed into a bitmap of fixed size, SIEVE_BITS / 64 rows of a long, which is broadcast; a row's flag is its
+    bit. When there are many more keys than bits, all flags are true.
     """
-    bit = F.pmod(F.xxhash64(name), F.lit(SIEVE_BITS))
+    bit = F.pmod(F.xxhash64(*names), F.lit(SIEVE_BITS))
     bitmap = keys.select(bit.alias("__sw_bit")).groupBy(F.shiftright("__sw_bit", 6).alias("__sw_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(__sw_bit % 64 as int))")).alias("__sw_bits"))
-    marked = rows.withColumn("__sw_bit", bit).withColumn("__sw_word", F.shiftright("__sw_bit", 6))
-    found = marked.join(F.broadcast(bitmap), "__sw_word").where(F.expr("(shiftrightunsigned(__sw_bits, cast(__sw_bit % 64 as int)) & 1) = 1"))
-    return found.select(*[F.col(f"`{c}`") for c in rows.columns])
+    found = rows.withColumn("__sw_bit", bit).withColumn("__sw_word", F.shiftright("__sw_bit", 6)).join(F.broadcast(bitmap), "__sw_word", "left")
+    hit = F.coalesce(F.expr("(shiftrightunsigned(__sw_bits, cast(__sw_bit % 64 as int)) & 1) = 1"), F.lit(False))
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], hit.alias(flag))
+
+
+def sifted(rows: DataFrame, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` less most of those whose ``name`` is not in ``keys``: a cheap step before a join that shuffles ``rows``."""
+    return marked(rows, keys, [name], "__sw_flag").where("__sw_flag").drop("__sw_flag")

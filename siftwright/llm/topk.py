@@ -7,8 +7,10 @@ a constant of the query. The top rows are then selected from the most significan
 bitmap of rows surely in and one of rows on the boundary; the boundary's rows have equal scores and are resolved by the smaller
 vec_id.
 
-Rows and queries are dealt into blocks of bounded size; each pair of a query block and a row block is one work item, and only
-the best k of each item leave it. Nothing is broadcast. Work is rows times queries, as exact search asks.
+Rows are dealt into blocks of at most about ROW_BLOCK, each of which is shuffled and indexed once. Queries are copied to every
+block, and stream through its index, so neither a block's queries nor all rows are ever held; only the best k of a query and
+block leave it. Nothing is broadcast. Work is rows times queries, as exact search asks; what is moved besides the rows is one
+query for each ROW_BLOCK rows.
 
 Defined results: vectors that are null, hold a null or a non-finite component, or have a null vec_id take no part. Vectors of
 different lengths are not compared. A query's own row is every row with its vec_id. Rows that repeat a vec_id and vector are
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, sorted_groups
+from ._common import arrow_map, sorted_runs
 
-ROW_BLOCK, QUERY_BLOCK = 16384, 256
+#: Most rows of a block (on average), and the size below which blocks are not made smaller to occupy all cores.
+ROW_BLOCK, LEAST_BLOCK = 65536, 4096
 U = np.uint64
 
 
@@ -125,37 +128,43 @@ def quantised(vectors: pa.Array, scale: int) -> np.ndarray:
 
 
 def _searched(k: int, scale: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, cell in sorted_groups(batches, ["qb", "rb", "dims"]):
-        cell = cell.combine_chunks().sort_by([("asks", "descending"), ("vec_id", "ascending")])
-        n = int(np.count_nonzero(cell.column("asks").to_numpy()))
-        ids, uids = cell.column("vec_id").to_numpy(), cell.column("uid").to_numpy()
-        if not 0 < n < cell.num_rows:
+    """Batches sorted by block and dimensions, rows before queries."""
+    place, held, index = None, [], None
+    ids = rows = None
+    for (*at, asks), piece in sorted_runs(batches, ["rb", "dims", "asks"]):
+        if at != place:
+            place, held, index = at, [], None
+        if not asks:
+            held.append(piece.select(["vec_id", "vector"]))
             continue
-        values = quantised(cell.column("vector").combine_chunks(), scale)
-        rows, row_ids, out = values[n:], ids[n:], []
-        index = BitSlicedIndex(rows)
-        for q in range(n):
-            own = np.arange(np.searchsorted(row_ids, ids[q]), np.searchsorted(row_ids, ids[q], side="right"))
-            best = index.top(values[q], k, index.all & ~index.bitmap(own) if len(own) else index.all)
-            out += zip([ids[q]] * len(best), [uids[q]] * len(best), row_ids[best], rows[best] @ values[q])
+        if not held:
+            continue
+        if index is None:
+            block = pa.Table.from_batches(held).combine_chunks().sort_by("vec_id")
+            ids, rows = block.column("vec_id").to_numpy(), quantised(block.column("vector").combine_chunks(), scale)
+            index = BitSlicedIndex(rows)
+        queries, out = quantised(piece.column("vector"), scale), []
+        for query_id, uid, query in zip(piece.column("vec_id").to_pylist(), piece.column("uid").to_pylist(), queries):
+            own = np.arange(np.searchsorted(ids, query_id), np.searchsorted(ids, query_id, side="right"))
+            best = index.top(query, k, index.all & ~index.bitmap(own) if len(own) else index.all)
+            out += zip([query_id] * len(best), [uid] * len(best), ids[best], rows[best] @ query)
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["query_id", "uid", "vec_id", "score"])
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of each query row's ``k`` best other rows."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"), is_query.alias("asks"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    vector = F.col(vector_col) if kind == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("vector"), is_query.alias("asks"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(fine)
-    rows = rows.withColumn("dims", F.size("vector")).withColumn("uid", F.monotonically_increasing_id())
-    queries = rows.where("asks").dropDuplicates(["vec_id", "vector"])
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    n_rows, n_queries = max(1, -(-counts.n // ROW_BLOCK)), max(1, -(-counts.q // QUERY_BLOCK))
-    dealt = lambda n: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("asks", F.lit(True)).withColumn("qb", dealt(n_queries)).withColumn("rb", every(n_rows))
-    given = rows.withColumn("asks", F.lit(False)).withColumn("rb", dealt(n_rows)).withColumn("qb", every(n_queries))
-    cells = asked.unionByName(given).repartition("qb", "rb", "dims").sortWithinPartitions("qb", "rb", "dims")
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull()).where(fine).withColumn("dims", F.size("vector"))
+    queries = rows.where("asks").dropDuplicates(["vec_id", "vector"]).withColumn("uid", F.xxhash64("vector"))
+    n, cores = rows.count(), rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-n // ROW_BLOCK), min(-(-n // LEAST_BLOCK), 2 * cores))
+    asked = queries.withColumn("asks", F.lit(True)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    given = rows.withColumn("asks", F.lit(False)).withColumn("uid", F.lit(0).cast("long")).withColumn("rb", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    cells = given.unionByName(asked).repartition("rb", "dims").sortWithinPartitions("rb", "dims", "asks")
     found = arrow_map(cells, lambda b: _searched(k, scale, b), "query_id long, uid long, vec_id long, score long")
     order = Window.partitionBy("query_id", "uid").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

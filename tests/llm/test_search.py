@@ -72,10 +72,9 @@ def test_bit_slices():
             assert set(index.top(q, 7, index.all)) == set(order[:7])
 
 
-@pytest.mark.parametrize("block", [16384, 40])
+@pytest.mark.parametrize("block", [65536, 40])
 def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "ROW_BLOCK", block)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
     r = np.random.default_rng(block)
     rows = [(i, [float(x) for x in r.normal(0, 0.2, 6)]) for i in range(300)]
     rows += [(1000 + i, [0.5, 0.25, -0.5, 0.0, 0.1, 0.3]) for i in range(90)]  # ties
@@ -89,6 +88,9 @@ def test_top_k(spark, monkeypatch, block):
         wanted += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert got == sorted(wanted)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+    halves = df.selectExpr("vec_id", "cast(embedding as array<float>) as embedding")
+    wide = halves.selectExpr("vec_id", "cast(embedding as array<double>) as embedding")
+    assert sorted(map(tuple, topk.top_k(halves, F.col("vec_id") % 50 == 0).collect())) == sorted(map(tuple, topk.top_k(wide, F.col("vec_id") % 50 == 0).collect()))
 
 
 # ---- chats
@@ -125,7 +127,7 @@ def test_archives(spark):
     text = lambda n: "".join(r.choice("abc é\r\n:<>") for _ in range(n))
     big, edge = text(400), "é" * 50
     pages = [(i, f"http://x/{i}?é \r\n", text(r.randrange(600))) for i in range(200)] + [(300 + i, None, big) for i in range(40)] + [(400 + i, "u", "small") for i in range(3)]
-    pages += [(500, "u", edge), (499, "u", edge), (501, "u", "x" * 99), (502, "u", "x" * 99), (503, None, None), (504, "", ""), (None, "u", big), (None, None, None), (300, "again", big), (505, "u", "WARC/1.1\r\n\r\n" * 20), (506, "u", text(50000))]
+    pages += [(500, "u", edge), (499, "u", edge), (501, "u", "x" * 99), (502, "u", "x" * 99), (503, None, None), (504, "", ""), (None, "u", big), (None, None, None), (300, "again", big), (505, "u", "WARC/1.1\r\n\r\n" * 20), (506, "u", text(50000)), (507, "u", text(100) * 30000)] + [(n, "u", "y" * 3000) for n in (None, None)]
     df = spark.createDataFrame([(*x, "d", 1) for x in pages], "page_id long, url string, html string, digest string, first int").repartition(4)
     bundles = warc.write_archives(df, frame_bytes=2000, bundle_bytes=3000)
     got = sorted((tuple(x) for x in warc.read_archives(bundles, payloads=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload").collect()), key=repr)
