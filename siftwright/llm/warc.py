@@ -7,8 +7,9 @@ inside the frame, length) and, as its footer, the seek table of the seekable for
 decompressing the rest, and ordinary Zstandard tools read a bundle as the plain concatenation of its records.
 
 A task writes bundles under names of its own attempt and reports them; only reported bundles are read, so files of lost
-attempts are never seen. Which equal payload comes first is decided by an aggregation over digests, before any page
-moves.
+attempts are never seen. Which equal payload comes first is decided on rows without payloads: pages that share none (by a
+bitmap of fixed size that is broadcast) are written where they are read, revisits are written from their digests alone, and
+only the first page of a shared payload is moved with its html.
 
 Defined results: a null page is an empty payload. A null page_id sorts behind all others, its record carries none. Rows that
 share a payload and its smallest page_id are all responses. Other columns are ignored.
@@ -30,8 +31,10 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, new_path, written
+from ._common import arrow_map, dropped, marked, new_path, written
 
+#: Parts that the pages of one payload are decided in.
+SALTS = 16
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 16 << 20, 3
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -172,15 +175,29 @@ def _write(folder: str, frame_bytes: int, bundle_bytes: int, batches: Iterator[p
 
 def write_archives(pages: DataFrame, least: int = 100, folder: str | None = None, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
     """Writes ``page_id, url, html`` rows as bundles; returns the written table ``path, records, bytes`` of these."""
-    folder = folder or new_path(pages.sparkSession, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha2(F.coalesce("html", F.lit("")).cast("binary"), 256))
-    large = F.octet_length("html") >= least
-    firsts = rows.where(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
-    again = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
-    rows = rows.join(firsts, "digest", "left").withColumn("kind", F.when(again, "revisit").otherwise("response"))
-    payload = F.when(F.col("kind") == "response", F.col("html").cast("binary"))
-    rows = rows.select("page_id", "url", payload.alias("html"), F.coalesce(F.octet_length("html"), F.lit(0)).alias("length"), "digest", "first", "kind")
-    return written(arrow_map(rows, lambda b: _write(folder, frame_bytes, bundle_bytes, b), "path string, records long, bytes long"), "bundles")
+    spark = pages.sparkSession
+    folder = folder or new_path(spark, "warc")
+    html, salt = F.coalesce("html", F.lit("")).cast("binary"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").withColumn("digest", F.sha2(html, 256)).withColumn("length", F.octet_length(html))
+    # Digests with several pages, by partial counts, as one payload may have very many pages.
+    counted = rows.where(F.col("length") >= least).groupBy("digest", salt.alias("salt")).agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    firsts = counted.groupBy("digest").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1 and first is not null").drop("n")
+    firsts = written(firsts, "digests")
+    rows = marked(rows, firsts, ["digest"], "shared")
+    # Of pages that may share their payload, the rows without it are decided on; revisits are written from these.
+    spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    decided = rows.where("shared").drop("html").withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+    decided = written(decided.withColumn("revisit", F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))), "decided")
+    revisits = decided.where("revisit").select("page_id", "url", F.lit(None).cast("binary").alias("html"), "length", "digest", "first", F.lit("revisit").alias("kind"))
+    # The others of them are fetched with their payloads; all the rest never move.
+    wanted = decided.where("not revisit").select("page_id", "digest").distinct()
+    fetched = marked(rows.where("shared"), wanted, ["page_id", "digest"], "wanted").where("wanted").alias("f")
+    fetched = fetched.join(wanted.alias("w"), F.col("f.page_id").eqNullSafe(F.col("w.page_id")) & (F.col("f.digest") == F.col("w.digest")), "left_semi")
+    response = lambda df: df.select("page_id", "url", F.col("html").cast("binary").alias("html"), "length", "digest", F.lit(None).cast("long").alias("first"), F.lit("response").alias("kind"))
+    every = response(rows.where("not shared")).unionByName(response(fetched)).unionByName(revisits)
+    bundles = written(arrow_map(every, lambda b: _write(folder, frame_bytes, bundle_bytes, b), "path string, records long, bytes long"), "bundles")
+    dropped(spark, firsts, decided)
+    return bundles
 
 
 def _read(payloads: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
