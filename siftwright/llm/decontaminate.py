@@ -11,28 +11,33 @@ are cut into RADIUS + 1 blocks: two within RADIUS bits agree in one block at lea
 finds all pairs within the radius, and equal windows, at distance 0, always. Of each pair of document and item that is found,
 all windows are then compared exactly, by sums over the shingles in common.
 
-The benchmark is held in memory by each task in parts of at most MAX_ITEMS items; a larger one takes further passes over the
-same rows, in one pipeline without a shuffle. Documents are never moved or grouped.
+The benchmark is indexed in parts of about PART_BYTES of text, each by one task, and the parts are written as a table in the
+shared folder. Tasks read parts from there, hold at most HELD_BYTES of them (one at least) and pass every slice of documents by every
+part, so neither the driver nor a task holds the whole. Documents are never moved or grouped.
 
 Defined results: null and empty texts and items match nothing. An item or window with fewer than ``k`` words is one shingle, so
-such items are looked up by a window of their whole length. Each row gives one row.
+such items are looked up by a window of their whole length. Rows that share an item_id are items of their own whose matches bear
+one id. Each row of documents gives one row, repeated rows too; an input column of a result's name is replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, slices
+from ._common import arrow_map, named, slices, sorted_groups, widened, without, written
 from ._words import U, runs, words
 
 RADIUS = 3
-MAX_ITEMS = 20000
+PART_BYTES, HELD_BYTES = 4 << 20, 256 << 20
 IDS, BEST = "__sw_item_ids", "__sw_best"
 _ROWS = 8192
 
@@ -158,30 +163,62 @@ class Benchmark:
         return out
 
 
-def _matched(bench: Benchmark, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _indexed(k: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted items to one row for each part: its index, packed."""
+    for (part,), rows in sorted_groups(batches, ["part"]):
+        items = sorted(zip(rows.column("item_id").to_pylist(), rows.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(Benchmark(items, k, percent))], pa.binary())], ["part", "packed"])
+
+
+class Parts:
+    """The parts of an index in files, read as they are asked for; some stay, within ``held_bytes``."""
+
+    def __init__(self, paths: list[str], held_bytes: int) -> None:
+        self.held_bytes = held_bytes
+        self.places = [(path, i) for path in paths for i in range(self._file(path).metadata.num_rows)]
+        self.held: dict[tuple[str, int], tuple[int, Benchmark]] = {}
+
+    @staticmethod
+    def _file(path: str) -> pq.ParquetFile:
+        system, place = fs.FileSystem.from_uri(path)
+        return pq.ParquetFile(place, filesystem=system)
+
+    def __iter__(self) -> Iterator[Benchmark]:
+        for place in self.places:
+            if place not in self.held:
+                packed = next(b for i, b in enumerate(self._file(place[0]).iter_batches(1, columns=["packed"])) if i == place[1]).column("packed")[0].as_py()
+                while self.held and sum(n for n, _ in self.held.values()) + len(packed) > self.held_bytes:
+                    self.held.popitem()
+                self.held[place] = len(packed), pickle.loads(packed)
+            yield self.held[place][1]
+
+
+def _matched(paths: list[str], held_bytes: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parts = Parts(paths, held_bytes)
     for batch in batches:
         ids, best = [], []
         for start, end in slices(batch.column("text")):
             found = words(batch.column("text").slice(start, end - start))
-            for d, hits in enumerate(bench.matches(found.hashes, found.first, percent), start):
-                before = batch.column(IDS)[d].as_py()
-                ids.append(sorted({*before, *hits}))
-                best.append(max([batch.column(BEST)[d].as_py(), *hits.values()]))
-        keep = [c for c in batch.schema.names if c not in (IDS, BEST)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*keep, IDS, BEST])
+            hits: list[dict[int, float]] = [{} for _ in range(end - start)]
+            for part in parts:
+                for d, more in enumerate(part.matches(found.hashes, found.first, percent)):
+                    for item_id, similarity in more.items():
+                        hits[d][item_id] = max(similarity, hits[d].get(item_id, 0.0))
+            ids += [sorted(x) for x in hits]
+            best += [max(x.values(), default=0.0) for x in hits]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int64())), pa.array(best, pa.float64())], [*batch.schema.names, IDS, BEST])
 
 
-def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, max_items: int = MAX_ITEMS) -> DataFrame:
+def with_matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80, part_bytes: int = PART_BYTES, held_bytes: int = HELD_BYTES) -> DataFrame:
     """``docs`` (a text column and others) with the matched items' ids (IDS, sorted) and the BEST similarity (0 without a match)."""
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    parts = max(1, -(-items.count() // max_items))
-    rows = docs.withColumn(IDS, F.array().cast("array<bigint>")).withColumn(BEST, F.lit(0.0))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    for part in range(parts):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()
-        bench = Benchmark(sorted((r["item_id"], r["text"]) for r in mine), k, percent)
-        rows = arrow_map(rows, lambda b, bench=bench: _matched(bench, percent, b), schema)
-    return rows
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    n = max(1, -(-size // part_bytes))
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int")).repartition("part").sortWithinPartitions("part")
+    index = written(arrow_map(dealt, lambda b: _indexed(k, percent, b), "part int, packed binary"), "benchmark")
+    paths = sorted(index.inputFiles())
+    rows = without(named(docs, "text"), IDS, BEST)
+    return arrow_map(rows, lambda b: _matched(paths, held_bytes, percent, b), widened(rows, f"{IDS} array<long>, {BEST} double"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

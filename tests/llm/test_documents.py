@@ -201,11 +201,30 @@ def test_contamination(spark):
     missed = [(rows[i], w, got[rows[i][0]].item_ids) for i, w in wanted.items() if got[rows[i][0]].item_ids != w]
     assert not missed, missed[:2]
     assert sum(bool(w) for w in wanted.values()) > 40
-    parts = decontaminate.with_matches(frame(spark, rows), bench, max_items=3).collect()
+    parts = decontaminate.with_matches(frame(spark, [*rows, rows[0]]), bench.union(bench.limit(2)), part_bytes=300, held_bytes=1000).collect()
     assert {x.doc_id: x[decontaminate.IDS] for x in parts} == {k: x.item_ids for k, x in got.items()}
     assert weighted("a a a b".split(), "a a a b".split(), 5) == 1
 
 
+@pytest.mark.parametrize("n", [30, 120, 480])
+def test_recall_near_the_limit(spark, n):
+    """Word edits spread over an item until its similarity is just at or above the limit."""
+    r, items, rows = random.Random(n), [], []
+    for i in range(60):
+        w = prose(r, n, 5000)
+        items.append((i, " ".join(w)))
+        v = list(w)
+        while True:
+            nearer = list(v)
+            nearer[r.randrange(n)] = f"e{r.randrange(10**6)}"
+            if 100 * weighted(nearer, w, 5) < 80:
+                break
+            v = nearer
+        rows.append((i, " ".join(prose(r, 9, 5000) + v + prose(r, 9, 5000))))
+    got = {x.doc_id: x.item_ids for x in decontaminate.contamination(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert np.mean([d in got[d] for d, _ in rows]) >= 0.9
+
+
 def test_contamination_wherever_the_edits_are(spark):
     """Both end words changed, two or three edits spread over the item, halves swapped, words repeated: as brute force has it."""
     r, items, rows = random.Random(9), [], []
