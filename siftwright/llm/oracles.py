@@ -13,6 +13,43 @@ best as (
 select page_id, host, path, b.rule as rule, coalesce(b.verdict, 'allow') as verdict from best
 """
 
+OP3 = r"""
+with w as (
+    select 'd' as kind, doc_id as id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+    union all
+    select 'i', item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') from benchmark where item_id is not null),
+items as (select id as item_id, w, least(5, len(w)) as k, len(w) - least(5, len(w)) + 1 as m from w where kind = 'i' and len(w) > 0),
+grams as materialized (
+    select item_id, k, m, g, count(*) as c
+    from (select item_id, k, m, array_to_string(w[i:i + k - 1], ' ') as g from (select *, unnest(range(1, m + 1)) as i from items)) group by all),
+places as materialized (
+    select id as doc_id, k, len(w) - k + 1 as n, array_to_string(w[i:i + k - 1], ' ') as g, i - 1 as place
+    from (select *, unnest(range(1, len(w) - k + 2)) as i from (select w.id, w.w, s.k from w, (select distinct k from items) s where w.kind = 'd' and len(w.w) >= s.k))),
+hits as materialized (select p.doc_id, p.n, p.place, g.item_id, g.m, g.g, g.c from places p join grams g on p.k = g.k and p.g = g.g),
+starts as (select distinct doc_id, item_id, n, m, unnest(range(place - m + 1, place + 1)) as s from hits),
+sums as (
+    select s.doc_id, s.item_id, s.n, s.m, s.s, h.g, least(count(*), any_value(h.c)) as common
+    from starts s join hits h on s.doc_id = h.doc_id and s.item_id = h.item_id and h.place >= s.s and h.place < s.s + s.m group by all),
+windows as (select doc_id, item_id, sum(common)::bigint as common, (m + least(s + m, n) - greatest(s, 0) - sum(common))::bigint as whole from sums group by doc_id, item_id, n, m, s),
+found as (select doc_id, item_id, max(common::double / whole::double) as best from windows where 100 * common >= 80 * whole group by doc_id, item_id),
+by_doc as (select doc_id, count(*) as n, string_agg(item_id::varchar, ',' order by item_id) as ids, max(best) as best from found group by doc_id)
+select d.doc_id, f.n is not null as contaminated, coalesce(f.n, 0)::integer as n_items, coalesce(f.ids, '') as item_ids, coalesce(f.best, 0.0)::double as best
+from documents d left join by_doc f on d.doc_id = f.doc_id
+"""
+
+OP7 = r"""
+with w as (
+    select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as materialized (select doc_id, i, md5_number(array_to_string(w[i + 1:i + 50], ' ')) as g from (select *, unnest(range(0, len(w) - 49)) as i from w)),
+firsts as (select g, min(struct_pack(d := doc_id, i := i)) as f from windows group by g having count(*) > 1),
+again as (select doc_id, i from windows join firsts on windows.g = firsts.g where f.d <> doc_id or f.i + 50 <= i),
+edges as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as fresh from again),
+spans as (select doc_id, n, min(i) as low, max(i) + 50 as high from (select *, sum(fresh) over (partition by doc_id order by i) as n from edges) group by doc_id, n),
+by_doc as (select doc_id, sum(high - low)::bigint as words, string_agg(low::varchar || '-' || high::varchar, ',' order by low) as spans from spans group by doc_id)
+select d.doc_id, b.words is not null as repeated, coalesce(b.words, 0)::bigint as repeated_words, coalesce(b.spans, '') as spans
+from documents d left join by_doc b on d.doc_id = b.doc_id
+"""
+
 OP4 = r"""
 with recursive toks as (
     select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
@@ -66,4 +103,4 @@ select page_id, payload_bytes, payload_digest, case when first is distinct from
 from p left join f on p.payload_digest = f.d
 """
 
-ORACLES = {"op2_url_filter": OP2, "op4_minhash": OP4, "op5_topk": OP5, "op9_chat": OP9, "op10_warc": OP10}
+ORACLES = {"op2_url_filter": OP2, "op3_decontaminate": OP3, "op4_minhash": OP4, "op5_topk": OP5, "op7_suffix_array": OP7, "op9_chat": OP9, "op10_warc": OP10}

@@ -23,7 +23,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ","))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +41,9 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat(s["begin"], F.lit("-"), s["end"])), ",")
+    return found.select("doc_id", "repeated", "repeated_words", spans.alias("spans"))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

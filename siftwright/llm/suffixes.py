@@ -15,11 +15,12 @@ with a smaller doc_id, or further up in the same one without overlap. The first
 4. Repeated windows become word spans of their documents, and byte spans of the texts.
 
 All rows of steps 2 and 3 have a fixed small size; a passage that a third of the documents hold is spread by range
-partitioning, by partial aggregation and by skew splitting of joins. Prints have 64 bits.
+partitioning, by partial aggregation and by skew splitting of joins. Surroundings and windows have prints of 128 bits (two
+independent ones of 64), so windows are equal by chance with a probability of 2**-88 or so even among 10**12.
 
 Defined results: null texts and texts under LENGTH words repeat nothing. Rows with a null doc_id neither count as places nor
 lose words. Rows that share doc_id and text are one document, and rows that share a doc_id only are ordered by a hash of
-their text.
+their text. Columns that Spark finds under doc_id and text are named so in results.
 """
 
 from __future__ import annotations
@@ -31,28 +32,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, sifted, slices, written
+from ._common import arrow_map, named, sifted, slices, written
 from ._words import U, mix, powers, runs, signed, words
 
 LENGTH, GRAM = 50, 10
-_BASE = 0xA0761D6478BD642F | 1
+#: Bases of the two prints of surroundings, and what the words of second window prints are scrambled with.
+_BASES, _OTHER = (0xA0761D6478BD642F | 1, 0xE7037ED1A0B428DB | 1), U(0x8EBC6AF09C88C6E3)
 
 
 def anchors(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """For each selected position: gram hash, surroundings' print, first and last start of the windows that select it."""
+    """For each selected position: gram hash, surroundings' two prints, first and last start of the windows that select it."""
     n = len(hashes) - length + 1
     if n <= 0:
         none = np.zeros(0, np.int64)
-        return none.view(U), none.view(U), none, none
+        return none.view(U), none.view(U), none.view(U), none, none
     grams = runs(hashes, gram)
     at = np.lib.stride_tricks.sliding_window_view(grams, length - gram + 1).argmin(axis=1) + np.arange(n)
     low = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
     high = np.concatenate([low[1:], [n]]) - 1
     place = at[low]
-    up, down = powers(_BASE, len(hashes) + 1)
-    sums = np.concatenate([np.zeros(1, U), (hashes * up[:-1]).cumsum(dtype=U)])
-    print_ = (sums[high + length] - sums[low]) * down[low]
-    return grams[place], mix(print_ + mix((place - low).astype(U) << U(32) | (high - low).astype(U))), low, high
+    where, prints = mix((place - low).astype(U) << U(32) | (high - low).astype(U)), []
+    for base in _BASES:
+        up, down = powers(base, len(hashes) + 1)
+        sums = np.concatenate([np.zeros(1, U), (hashes * up[:-1]).cumsum(dtype=U)])
+        prints.append(mix((sums[high + length] - sums[low]) * down[low] + where))
+    return grams[place], *prints, low, high
 
 
 def _suffixes(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,9 +67,9 @@ def _suffixes(length: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iter
             parts = [anchors(found.hashes[found.first[d] : found.first[d + 1]], length, gram) for d in range(end - start)]
             owner = np.repeat(np.arange(start, end), [len(p[0]) for p in parts])
             if len(owner):
-                grams, rounds, low, high = (np.concatenate(x) for x in zip(*parts))
+                grams, rounds, rounds2, low, high = (np.concatenate(x) for x in zip(*parts))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(grams)), pa.array(signed(rounds)), pa.array(ids[owner]), pa.array(prints[owner]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["gram", "around", "doc_id", "print", "low", "high"]
+                    [*(pa.array(signed(x)) for x in (grams, rounds, rounds2)), pa.array(ids[owner]), pa.array(prints[owner]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], ["gram", "around", "around2", "doc_id", "print", "low", "high"]
                 )
 
 
@@ -73,7 +77,8 @@ def _neighbours(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     """Sorted suffixes to ``doc_id, print, low, high, whole, source``: whole spans are repeats of words in the document
     ``source``, the others have to be extended."""
     names = ["doc_id", "print", "low", "high"]
-    gram = around = None  # of the last row
+    gram = None  # of the last row
+    around: tuple | None = None
     first = None  # the first row of the last surroundings
     waiting = None  # the only first row of the last gram so far
     edge = True
@@ -89,9 +94,10 @@ def _neighbours(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
         n = batch.num_rows
         if not n:
             continue
-        t = {c: batch.column(c).to_numpy() for c in ["gram", "around", *names]}
+        t = {c: batch.column(c).to_numpy() for c in ["gram", "around", "around2", *names]}
         new_gram = np.concatenate([[t["gram"][0] != gram if gram is not None else True], t["gram"][1:] != t["gram"][:-1]])
-        new_round = new_gram | np.concatenate([[t["around"][0] != around if around is not None else True], t["around"][1:] != t["around"][:-1]])
+        both = np.stack([t["around"], t["around2"]])
+        new_round = new_gram | np.concatenate([[tuple(both[:, 0]) != around], (both[:, 1:] != both[:, :-1]).any(axis=0)])
         # The first row of each row's surroundings; index -1 is the one carried from the batch before.
         head = np.maximum.accumulate(np.where(new_round, np.arange(n), -1))
         carried = first or (0, 0, 0, 0)
@@ -114,7 +120,7 @@ def _neighbours(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             waiting = None if many[group[-1]] or keep[last] else tuple(int(t[c][last]) for c in names)
         if keep.any():
             yield rows(t, keep, whole, head_of["doc_id"])
-        gram, around = t["gram"][-1], t["around"][-1]
+        gram, around = t["gram"][-1], tuple(both[:, -1])
         first = tuple(int(head_of[c][-1]) for c in names)
     if waiting is not None:
         yield alone(waiting)
@@ -126,10 +132,11 @@ def _windows(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         for start, end in slices(batch.column("text")):
             found = words(batch.column("text").slice(start, end - start))
             for d in range(start, end):
-                prints_of = runs(found.hashes[found.first[d - start] : found.first[d - start + 1]], length)
+                mine = found.hashes[found.first[d - start] : found.first[d - start + 1]]
+                both = runs(mine, length), runs(mix(mine ^ _OTHER), length)
                 low, high = (spans[d].values.field(c).to_numpy() for c in ("low", "high"))
                 at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low, high)])).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(prints_of[at])), pa.array(np.full(len(at), ids[d])), pa.array(np.full(len(at), prints[d])), pa.array(at)], ["window", "doc_id", "print", "low"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(signed(x[at])) for x in both), pa.array(np.full(len(at), ids[d])), pa.array(np.full(len(at), prints[d])), pa.array(at)], ["window", "window2", "doc_id", "print", "low"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -139,19 +146,19 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``doc_id, print, low, high, source``: the windows of ``length`` words that start at words low to high repeat words of source."""
     keyed = _keyed(docs.select("doc_id", "text"))
-    columns = "gram long, around long, doc_id long, print long, low int, high int"
+    columns = "gram long, around long, around2 long, doc_id long, print long, low int, high int"
     retained = written(arrow_map(keyed, lambda b: _suffixes(length, gram, b), columns), "suffixes")
-    order = ["gram", "around", "doc_id", "print", "low"]
+    order = ["gram", "around", "around2", "doc_id", "print", "low"]
     near = arrow_map(retained.repartitionByRange(*order).sortWithinPartitions(*order), lambda b: _neighbours(length, b), "doc_id long, print long, low int, high int, whole boolean, source long")
     near = written(near, "neighbours")
     extended = near.where("not whole").groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     texts = sifted(keyed, near.where("not whole"), "doc_id")
-    windows = arrow_map(texts.join(extended, ["doc_id", "print"]), lambda b: _windows(length, b), "window long, doc_id long, print long, low int")
+    windows = arrow_map(texts.join(extended, ["doc_id", "print"]), lambda b: _windows(length, b), "window long, window2 long, doc_id long, print long, low int")
     windows = written(windows, "windows")
     place = F.struct("doc_id", "print", "low")
-    firsts = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    firsts = windows.groupBy("window", "window2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
     apart = (F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.print") != F.col("print")) | (F.col("first.low") + length <= F.col("low"))
-    again = windows.join(firsts, "window").where(apart).select("doc_id", "print", "low", F.col("low").alias("high"), F.col("first.doc_id").alias("source"))
+    again = windows.join(firsts, ["window", "window2"]).where(apart).select("doc_id", "print", "low", F.col("low").alias("high"), F.col("first.doc_id").alias("source"))
     return near.where("whole").select("doc_id", "print", "low", "high", "source").unionByName(again)
 
 
@@ -210,6 +217,7 @@ def _cut(length: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` (doc_id, text and any other columns) with the repeated words cut out of the texts."""
+    docs = named(docs, "doc_id", "text")
     ranges = repeated_windows(docs, length, gram).groupBy("doc_id", "print").agg(F.collect_list(F.struct("low", "high")).alias("__sw_ranges"))
     ranges = ranges.select(F.col("doc_id").alias("__sw_id"), F.col("print").alias("__sw_print"), "__sw_ranges")
     rows = docs.join(ranges, (docs["doc_id"] == F.col("__sw_id")) & (F.xxhash64(docs["text"]) == F.col("__sw_print")), "left").drop("__sw_id", "__sw_print")
