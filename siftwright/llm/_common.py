@@ -41,16 +41,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables written so far.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(spark: SparkSession, *frames: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
     for df in frames:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, folder)
+
+
+def finished(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``df`` as a written table, less all tables that were written after the first ``since`` and before it."""
+    out = written(df, name)
+    for path in _made[since:-1]:
+        _delete(df.sparkSession, path)
+    del _made[since:-1]
+    return out
+
+
+def n_written() -> int:
+    return len(_made)
 
 
 def held_out(doc_id: Column) -> Column:

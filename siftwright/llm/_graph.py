@@ -21,7 +21,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to the smallest of them (edges have a < b)."""
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b").where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
+    moved = edges.join(least.select(F.bitwise_not("b").alias("key"), "m"), F.bitwise_not("b") == F.col("key")).where("a <> m").select(F.col("m").alias("x"), F.col("a").alias("y"))
     return moved.union(least.select(F.col("m").alias("x"), F.col("b").alias("y"))).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
 
 

@@ -19,11 +19,12 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, dropped, held_out, slices, written
@@ -171,8 +172,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, most_langs: int = LANGS) -> Mod
     langs = [r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()]
     if not langs:
         return Model()
-    few = known.where(F.col("lang").isin(langs)).withColumn("order", F.xxhash64("id", "print"))
-    few = few.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("order", "id"))).where(F.col("place") <= max(1, sample // len(langs))).drop("place")
+    ranked = known.withColumn("order", F.xxhash64("id", "print"))
+    few = reduce(DataFrame.union, [ranked.where(F.col("lang") == g).orderBy("order", "id").limit(max(1, sample // len(langs))) for g in langs])
     rows = texts.join(F.broadcast(few), ["id", "lang", "print"]).groupBy("id", "lang", "print", "order").agg(F.max("text").alias("text"))
     found = arrow_map(rows.select("order", "lang", "text"), _counted, "order long, lang string, shares binary").collect()
     found = sorted((tuple(r) for r in found), key=lambda r: r[:2])

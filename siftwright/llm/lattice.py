@@ -2,8 +2,8 @@
 
 Substrings of bounded length are exploded from each distinct word and joined to the piece table by equality; the edges found
 are grouped by word, and an aggregate over the word's positions folds them: Viterbi for unigram models, and for BPE
-models the removal of one boundary after another (an edge can be taken when exactly one boundary lies inside it; the
-best-scored, then leftmost goes first). The words' ids then join their occurrences.
+models a fold over neighbouring symbols (the best-scored edge that two of them make together is taken, the leftmost of equals).
+The words' ids then join their occurrences.
 
 This form moves a row for each word occurrence through two shuffles, which is what :mod:`pieces` avoids; it is for vocabularies and
 for tables whose words fit. Only the piece table is broadcast, at most MAX_PIECES rows. Results are those of
@@ -13,6 +13,8 @@ longest piece's length.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +33,34 @@ def _edges(words: DataFrame, table: PieceTable) -> DataFrame:
     return words.join(parts.join(F.broadcast(known), "piece").groupBy("word").agg(F.collect_list(edge).alias("edges")), "word", "left").withColumn("edges", F.coalesce("edges", F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit(0.0).alias("score"), F.lit(0).alias("id"))), lambda x: F.lit(False))))
 
 
-def _merged(edges: Column, size: Column) -> Column:
-    """Boundaries of a BPE model's pieces."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(bounds: Column, _: Column) -> Column:
-        inner = lambda e: F.filter(bounds, lambda b: (b > e["start"]) & (b < e["end"]))
-        fits = F.filter(edges, lambda e: F.array_contains(bounds, e["start"]) & F.array_contains(bounds, e["end"]) & (F.size(inner(e)) == 1))
-        best = F.array_max(F.transform(fits, lambda e: F.struct(e["score"].alias("score"), (-e["start"]).alias("left"), e["end"].alias("end"))))
-        return F.filter(bounds, lambda b: ~F.coalesce((b > -best["left"]) & (b < best["end"]), F.lit(False)))
 
-    return F.aggregate(F.sequence(F.lit(1), size), F.sequence(F.lit(0), size), step)
+def _merged(edges: Column, size: Column) -> Column:
+    """Boundaries of a BPE model's pieces, by a fold over the word's neighbouring symbols.
+
+    A symbol is its start, its end and the score of the edge that it makes with the next one. A step joins the best (then
+    leftmost) such pair and looks up the two edges that change.
+    """
+    score = lambda s, e: F.get(F.filter(edges, lambda x: (x["start"] == s) & (x["end"] == e)), F.lit(0))["score"]
+    end_at = lambda acc, s: F.get(F.filter(acc, lambda x: x["s"] == s), F.lit(0))["e"]
+    symbol = lambda s, e, c: F.struct(s.alias("s"), e.alias("e"), c.alias("c"))
+    start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: symbol(i, i + 1, score(i, i + 2)))
+
+    def joined(acc: Column, left: Column, mid: Column, end: Column) -> Column:
+        new = _let(symbol(left, end, score(left, end_at(acc, end))), lambda x: x)
+        before = lambda x: symbol(x["s"], x["e"], score(x["s"], end))
+        return F.transform(F.filter(acc, lambda x: x["s"] != mid), lambda x: F.when(x["s"] == left, new).when(x["e"] == left, before(x)).otherwise(x))
+
+    def step(acc: Column, _: Column) -> Column:
+        best = F.array_max(F.transform(acc, lambda x: F.struct(x["c"].alias("c"), (-x["s"]).alias("l"))))
+        go = lambda b: _let(end_at(acc, -b["l"]), lambda mid: _let(end_at(acc, mid), lambda end: joined(acc, -b["l"], mid, end)))
+        return _let(best, lambda b: F.when(b["c"].isNull(), acc).otherwise(go(b)))
+
+    done = F.aggregate(F.sequence(F.lit(1), size), start, step)
+    return F.concat(F.transform(done, lambda x: x["s"]), F.array(size))
 
 
 def _viterbi(edges: Column, size: Column, missing: float) -> Column:

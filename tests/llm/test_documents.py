@@ -68,9 +68,20 @@ def hard_corpus(r):
     return rows
 
 
+def test_near_duplicates_of_one_id(spark):
+    """Rows that share an id but not a text belong each to its own text's group."""
+    r = random.Random(8)
+    a, b = prose(r, 40), prose(r, 40)
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a) + " x"), (3, " ".join(b) + " y"), (4, " ".join(prose(r, 30)))]
+    got = sorted((x.doc_id, x.component_id, x.kept) for x in minhash.near_duplicates(frame(spark, rows), 4).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+    assert sorted(x.text for x in minhash.one_of_each_group(frame(spark, rows), 4).collect()) == sorted([rows[0][1], rows[1][1], rows[4][1]])
+
+
 @pytest.mark.parametrize(("k", "block"), [(4, 2048), (5, 16)])
 def test_near_duplicates(spark, monkeypatch, k, block):
-    monkeypatch.setattr(minhash, "BLOCK_ROWS", block)
+    for name in ("BLOCK_ROWS", "SKETCH_ROWS", "STAR_ROWS"):
+        monkeypatch.setattr(minhash, name, block)
     rows = hard_corpus(random.Random(k))
     wanted = sorted(((d, *x) for (d, _), x in zip(rows, near_groups(rows, k, 80).values())), key=repr)
     got = sorted((tuple(x) for x in minhash.near_duplicates(frame(spark, rows), k, 80).collect()), key=repr)

@@ -36,6 +36,20 @@ def test_queries_against_sql(spark, name):
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in columns]) for r in found.fetchall())
 
 
+def test_working_tables_are_deleted(spark, tmp_path):
+    from siftwright.llm import _common
+
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        corpus_pipeline.run(spark, f"{DATA}/sf0.001").count()
+        left = [p.name for p in tmp_path.glob("siftwright/*/*")]
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+    assert len(left) == 1 and left[0].startswith("pipeline-decontamination"), left
+    assert _common.shared_dir(spark)
+
+
 def test_registered_queries():
     assert {f"op{i}" for i in range(1, 11)} == {n.split("_")[0] for n in queries.QUERIES}
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "suffix_array", "decontamination", "sentencepiece"]
@@ -241,3 +255,19 @@ def test_pipeline(spark, table, library, tmp_path):
         assert dict(after.dtypes) == dict(docs.dtypes)
         staged = after
 
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Empty tables, and documents with repeated rows, null ids, other cases and columns of helpers' names."""
+    sf = f"{DATA}/sf0.001"
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    docs = spark.sql("select * from values (1L, 'one two three'), (1L, 'one two three'), (1L, 'another text of the id'), (2L, 'ONE two  three'), (null, 'no id'), (3L, null), (4L, '') as d(doc_id, text)")
+    docs = docs.selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "cast(length(text) as bigint) as n_chars", "7 as component_id", "named_struct('a b', 1) as print", "1 as __sw_score", "2 as low", "3 as id")
+    got = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, got, str(tmp_path))
+        assert set(after.columns) >= set(docs.columns) - {"__sw_score"}
+        got = after
+    assert sorted(map(repr, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(repr, [(1, "one two three"), (1, "one two three"), (1, "another text of the id"), (None, "no id"), (3, None), (4, "")]))
