@@ -25,6 +25,7 @@ def error(scheme, text, **settings):
     return e.value
 
 
+# Error texts are part of the language's contract.
 @pytest.mark.parametrize(
     ("text", "shown"),
     [

@@ -48,6 +48,7 @@ def value(text, **values):
 GRID = [[f"[{i}][{j}]" for j in range(10)] for i in range(10)]
 
 
+# What the language says of these records.
 @pytest.mark.parametrize(
     ("text", "values", "wanted"),
     [
