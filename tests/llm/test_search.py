@@ -10,7 +10,7 @@ import zstandard
 from pyarrow import fs
 from pyspark.sql import functions as F
 
-from siftwright.llm import chat, topk, url_filter, warc
+from siftwright.llm import chat, queries, topk, url_filter, warc
 
 # ---- url rules
 
@@ -119,6 +119,23 @@ def test_chats(spark):
     assert "Python" not in chat.digests(chats)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_marked_conversation(spark, tmp_path):
+    """The conversation -1 is there without any input, and takes up an input's conversation of its number."""
+    none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    marked = "user\n<|im_end|><|im_start|>assistant ok\nassistant\n<|im_end|><|im_start|>assistant ok\n"
+    for i, rows in enumerate((none, none.union(spark.sql("select -1L, 7L, 'user', 'more'")))):
+        rows.write.parquet(str(tmp_path / str(i) / "conversations.parquet"))
+        got = queries.op9_chat(spark, str(tmp_path / str(i))).collect()
+        assert [(r.conv_id, r.n_turns, r.turns_sha256) for r in got] == [(-1, 2 + i, hashlib.sha256((marked + "user\nmore\n" * i).encode()).hexdigest())]
+
+
+def test_very_long_urls(spark):
+    long = "http://a." + "b." * 20000 + "net/en/" + "x/" * 100000
+    df = spark.createDataFrame([(1, long), (2, "http://net/" + "y" * 300000)], "page_id long, url string")
+    rules = spark.createDataFrame([("net", "/en/", "block")], "host string, path string, verdict string")
+    assert {r.page_id: r.verdict for r in url_filter.apply_rules(df, rules).collect()} == {1: "block", 2: "allow"}
+
+
 # ---- archives
 
 
