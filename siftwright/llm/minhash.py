@@ -236,11 +236,16 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     keys = classes.select("id", F.explode("bands").alias("key"))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1"), "keys")
     held = sifted(keys, shared, "key").join(shared.select(F.bitwise_not("key").alias("sk"), "n", "least"), F.bitwise_not("key") == F.col("sk")).drop("sk")
+    held = written(held, "held")
+    own = written(sifted(classes.select("id", "n_shingles", "n_bytes", "sketch"), held, "id"), "sketches")
+
+    def with_sketches(asked: DataFrame) -> DataFrame:
+        """``asked`` (id and others) with the set sizes and sketches of these classes."""
+        return asked.join(own.select(F.bitwise_not("id").alias("oi"), "n_shingles", "sketch"), F.bitwise_not("id") == F.col("oi")).drop("oi")
+
     parts = F.ceil(F.col("n") / SKETCH_ROWS).cast("int")
     part = F.when(F.col("id") == F.col("least"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("id", "key"), parts).cast("int")))
-    marks = classes.select(F.col("id").alias("mark_id"), "n_shingles", "sketch")
-    held = written(held.join(sifted(marks.withColumnRenamed("mark_id", "id"), held.select("id"), "id"), "id"), "held")
-    met = held.withColumn("part", F.explode(part)).select("key", "part", "id", "n_shingles", "sketch").repartition("key", "part").sortWithinPartitions("key", "part")
+    met = with_sketches(held.select("key", F.explode(part).alias("part"), "id")).repartition("key", "part").sortWithinPartitions("key", "part")
     proposals = written(arrow_map(met, lambda b: _proposed(percent, b), "a long, b long").groupBy("b").agg(F.min("a").alias("a")), "proposals")
 
     def with_texts(asked: DataFrame) -> DataFrame:
@@ -254,21 +259,26 @@ def _links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFra
     centres = degrees.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
     stars = with_texts(arms.unionByName(centres)).repartition("a", "part").sortWithinPartitions("a", "part")
     links = written(arrow_map(stars, lambda b: _verified(k, percent, b), "a long, b long"), "links")
-    first = written(components(links), "components")
-
-    # What is alike but not yet connected.
-    comp = first.select(F.bitwise_not("id").alias("ci"), "component")
-    labelled = held.join(comp, F.bitwise_not("id") == F.col("ci"), "left").select(F.col("key").alias("grp"), F.coalesce("component", "id").alias("comp"), "id", "n_shingles", "sketch", F.lit(0).alias("n_bytes"))
-    blocks = _in_blocks(labelled, SKETCH_ROWS, 1 << 62).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    # Each linked class is named after the one that its chain of links leads to in four steps.
+    first = links.select(F.col("b").alias("id"), F.col("a").alias("comp"))
+    for _ in range(2):
+        first = first.join(first.select(F.col("id").alias("fi"), F.col("comp").alias("fc")), F.col("comp") == F.col("fi"), "left").select("id", F.coalesce("fc", "comp").alias("comp"))
+    first = written(first, "named")
+
+    # What is alike but not yet connected, in the buckets that have different names.
+    labelled = held.join(first.select(F.bitwise_not("id").alias("fi"), "comp"), F.bitwise_not("id") == F.col("fi"), "left").select("key", F.coalesce("comp", "id").alias("comp"), "id")
+    labelled = written(labelled, "labelled")
+    open_ = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(F.bitwise_not("key").alias("ok"))
+    open_ = labelled.join(open_, F.bitwise_not("key") == F.col("ok")).select(F.col("key").alias("grp"), "comp", "id", F.lit(0).alias("n_bytes"))
+    blocks = with_sketches(_in_blocks(open_, SKETCH_ROWS, 1 << 62)).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
     found = written(arrow_map(blocks, lambda b: _open(percent, b), "a long, b long, involved boolean"), "open")
     clusters = components(found.where("not involved").select("a", "b"))
     rest = found.where("involved").select(F.col("a").alias("id"), F.col("b").alias("comp")).distinct().join(clusters.select(F.col("id").alias("comp"), F.col("component").alias("grp")), "comp")
-    rest = written(rest.join(classes.select("id", "n_bytes"), "id"), "rest")
+    rest = written(rest.join(own.select("id", "n_bytes"), "id"), "rest")
     dealt = with_texts(_in_blocks(rest, BLOCK_ROWS, BLOCK_BYTES)).repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    more = components(arrow_map(dealt, lambda b: _forests(k, percent, b), "a long, b long"))
-    joined = links.select("a", "b").unionByName(more.select(F.col("id").alias("a"), F.col("component").alias("b")))
-    out = written(components(joined), "groups")
-    dropped(spark, shared, held, proposals, links, first, found, rest)
+    more = arrow_map(dealt, lambda b: _forests(k, percent, b), "a long, b long")
+    out = written(components(links.unionByName(more)), "groups")
+    dropped(spark, shared, held, own, proposals, links, first, labelled, found, rest)
     return out
 
 
@@ -288,7 +298,9 @@ def _decided(docs: DataFrame, k: int, percent: int) -> DataFrame:
     linked = linked.join(least, F.bitwise_not("component") == F.col("lc")).select("p1", "p2", "n_shingles", "class_component")
     alone = classes.select("p1", "p2", "n_shingles", F.col("doc_id").alias("own"))
     named_ = alone.join(linked, ["p1", "p2", "n_shingles"], "left").select("p1", "p2", "n_shingles", F.coalesce("class_component", "own").alias("class_component"))
-    out = marks.drop("bands", "sketch").join(named_, ["p1", "p2", "n_shingles"], "left")
+    # By another key than the one that classes are grouped by, so that Spark can split a class of very many rows.
+    named_ = named_.select(F.bitwise_not("p1").alias("c1"), F.col("p2").alias("c2"), F.col("n_shingles").alias("cn"), "class_component")
+    out = marks.drop("bands", "sketch").join(named_, (F.bitwise_not("p1") == F.col("c1")) & (F.col("p2") == F.col("c2")) & (F.col("n_shingles") == F.col("cn")), "left")
     component = F.when(F.col("doc_id").isNull(), None).otherwise(F.coalesce("class_component", "doc_id"))
     out = out.select("doc_id", "print", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
