@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import arrow_map, sorted_runs
 
 #: Most rows of a block (on average), and the size below which blocks are not made smaller to occupy all cores.
-ROW_BLOCK, LEAST_BLOCK = 65536, 4096
+ROW_BLOCK, LEAST_BLOCK = 65536, 16384
 U = np.uint64
 
 
