@@ -16,6 +16,10 @@ from pyspark.sql.types import StructType
 SLICE_BYTES = 1 << 21
 
 
+#: Where a local session without ``spark.checkpoint.dir``, which cannot be set later, keeps its own.
+OWN_DIR = "spark.siftwright.dir"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,12 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (one machine, as in
     tests) gets a fresh one, and a cluster an error, as its executors do not see each other's disks."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(OWN_DIR, None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='siftwright-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.conf.set(OWN_DIR, found)
     return found.rstrip("/")
 
 

@@ -17,7 +17,8 @@ in Spark: the words' document frequencies, the ordinary windows that the common
 hashed sample) and the calibration documents' features. The driver gets the words that fill a dictionary, these windows and these
 features, never texts. Scores use whole texts, and only texts.
 
-Defined results: null and empty texts have one empty window. Without three labelled texts of both classes all scores are the
+Defined results: null and empty texts have one empty window. A text of which no window is shorter with the toxic dictionary scores
+no more than the share of toxic labels. Without three labelled texts of both classes all scores are the
 share of toxic labels (0 without any). A text with both labels counts for both; rows that repeat an id and text are one
 in learning. Each row gives one row; an input column of a result's name is replaced.
 """
@@ -102,7 +103,8 @@ class Model:
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         z = np.clip((features - self.mean) / self.scale, -8, 8)
-        return 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ self.weights)))
+        p = 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ self.weights)))
+        return np.where(features[:, 0] <= 0, np.minimum(p, self.base), p)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

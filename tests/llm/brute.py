@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from functools import cache
 from itertools import combinations
 
 import zstandard
@@ -94,21 +95,30 @@ def contaminated(text, items, k, percent):
     return sorted(out)
 
 
+@cache
+def codecs(*contents):
+    out = []
+    for content in contents:
+        how = zstandard.ZstdCompressionParameters(window_log=17, chain_log=18, hash_log=18, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(compression_params=how)
+        out.append(zstandard.ZstdCompressor(compression_params=how, dict_data=d))
+    return out
+
+
 def toxic_score(text, model):
     """A toxicity model's score: how many bytes each window of 8 words saves with one dictionary over the other."""
     if model.weights is None:
         return model.base
-    packed = []
-    for content in (model.ordinary, model.toxic):
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        codec = zstandard.ZstdCompressor(compression_params=zstandard.ZstdCompressionParameters(window_log=17, chain_log=18, hash_log=18, search_log=6, min_match=4, target_length=16, strategy=zstandard.STRATEGY_BTLAZY2, write_content_size=False, write_checksum=False, write_dict_id=False), dict_data=d)
-        w = (text or "").lower().split()
-        packed.append([len(codec.compress((" " + " ".join(w[i : i + 8]) + " ").encode())) for i in range(0, max(1, len(w)), 8)])
+    w = (text or "").lower().split()
+    cut = [(" " + " ".join(w[i : i + 8]) + " ").encode() for i in range(0, max(1, len(w)), 8)]
+    packed = [[len(codec.compress(x)) for x in cut] for codec in codecs(model.ordinary, model.toxic)]
     saved = sorted((a - b for a, b in zip(*packed)), reverse=True)
     n, over = len(saved), lambda x: sum(s >= x for s in saved)
     x = [saved[0], saved[1] if n > 1 else 0, min(saved[0], 4), sum(saved) / n, over(3) / n, over(6) / n, math.sqrt(over(3)), math.sqrt(over(6)), math.log1p(n)]
     z = [min(8, max(-8, (v - m) / s)) for v, m, s in zip(x, model.mean, model.scale)]
-    return 1 / (1 + math.exp(-sum(a * b for a, b in zip([*z, 1], model.weights))))
+    p = 1 / (1 + math.exp(-sum(a * b for a, b in zip([*z, 1], model.weights))))
+    return p if saved[0] > 0 else min(p, model.base)
 
 
 def grams(text):

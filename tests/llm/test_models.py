@@ -13,7 +13,7 @@ from brute import contaminated, cut, language, near_groups, repeated, toxic_scor
 from conftest import DATA
 
 import corpus_pipeline
-from siftwright.llm import langid, pieces, queries, toxicity
+from siftwright.llm import _common, langid, pieces, queries, toxicity
 from siftwright.llm._common import held_out
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,18 +36,11 @@ def test_queries_against_sql(spark, name):
     assert sorted(repr([r[c] for c in columns]) for r in df.collect()) == sorted(repr([r[names.index(c)] for c in columns]) for r in found.fetchall())
 
 
-def test_working_tables_are_deleted(spark, tmp_path):
-    from siftwright.llm import _common
-
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        corpus_pipeline.run(spark, f"{DATA}/sf0.001").count()
-        left = [p.name for p in tmp_path.glob("siftwright/*/*")]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_working_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_common, "shared_dir", lambda _: f"file://{tmp_path}")
+    corpus_pipeline.run(spark, f"{DATA}/sf0.001").count()
+    left = [p.name for p in tmp_path.glob("siftwright/*/*")]
     assert len(left) == 1 and left[0].startswith("pipeline-decontamination"), left
-    assert _common.shared_dir(spark)
 
 
 def test_registered_queries():
