@@ -28,7 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -184,14 +184,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     sizes = {(r["toxic"], r["learn"]): r["n"] for r in rows.groupBy("toxic", "learn").agg(F.count("*").alias("n")).collect()}
     if all(sizes.get((c, learn), 0) for c in (0, 1) for learn in (True, False)) and min(counts.values()) >= 3:
         taken = {c: sizes[c, True] + sizes[c, False] for c in (0, 1)}
-        model = _fitted(model, rows, {c: sizes[c, True] for c in (0, 1)}, taken)
+        model = _fitted(model, rows, {c: sizes[c, True] for c in (0, 1)})
         # A class beyond the sample's bound is rarer there than among the labels.
         model.weights[-1] += math.log(counts[1] / taken[1]) - math.log(counts[0] / taken[0])
     dropped(docs.sparkSession, rows)
     return model
 
 
-def _fitted(model: Model, rows: DataFrame, learned: dict[int, int], taken: dict[int, int]) -> Model:
+def _fitted(model: Model, rows: DataFrame, learned: dict[int, int]) -> Model:
     def own_parts(some: DataFrame, sizes: dict[int, int]) -> list[list[bytes]]:
         """For each contrast the own parts of both classes."""
         ratios = _ratios(some, sizes)
@@ -215,10 +215,7 @@ def _fitted(model: Model, rows: DataFrame, learned: dict[int, int], taken: dict[
         loss = -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
         if best is None or loss < best[0]:
             best = loss, i
-    # The own parts of the chosen contrast are then made of all texts of the sample, with the weights as they are.
-    chosen = models[best[1]]
-    whole = join(own_parts(rows, taken)[best[1]])
-    return replace(chosen, toxic=whole.toxic, ordinary=whole.ordinary)
+    return models[best[1]]
 
 
 def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
